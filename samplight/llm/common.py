@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step works on; what bounds a worker's memory.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 7 << 20
 
 _OWN_DIRS: dict[str, str] = {}
 
@@ -88,6 +88,11 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterable[
     return df.mapInArrow(run, schema)
 
 
+def lean_worker() -> None:
+    """Let this worker process give freed Arrow memory back at once."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive row ranges of about limit text bytes, one row at least."""
     if not batch.num_rows:
@@ -109,12 +114,18 @@ class Words:
 
     __slots__ = ("codes", "offsets", "uniq")
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, fold: bool = False):
+        """lower: A-Z in lower case; fold: that for all-ASCII words without "<|" only."""
         texts = plain_strings(column)
         if lower:
             texts = pc.ascii_lower(texts)
         parts = pc.ascii_split_whitespace(texts)
         flat = parts.flatten()
+        if fold:
+            plain = pc.string_is_ascii(flat)
+            if pc.any(pc.match_substring(texts, "<|")).as_py():
+                plain = pc.and_(plain, pc.invert(pc.match_substring(flat, "<|")))
+            flat = pc.if_else(plain, pc.ascii_lower(flat), flat)
         offsets = np.asarray(parts.offsets, dtype=np.int64)
         offsets = offsets - offsets[0]
         encoded = flat.dictionary_encode()
@@ -135,9 +146,12 @@ class Words:
 
 def ragged_take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """flat[starts[i]:starts[i]+lengths[i]] of all i, one after the other."""
-    total = int(lengths.sum())
     ends = np.cumsum(lengths)
-    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(flat)) < 2**31 else np.int64
+    at = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
