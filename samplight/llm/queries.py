@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from samplight.llm import exact_dedup, packing, sharding, token_files
+from samplight.llm import bpe, exact_dedup, packing, sharding, token_files
 from samplight.llm.common import documents
 
 
@@ -22,12 +22,16 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_and_decode(documents(spark, sf_dir))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_token_files, op4_packing, op9_sharding)
+    f.__name__: f for f in (op2_exact_dedup, op3_token_files, op4_packing, op5_bpe, op9_sharding)
 }
 
 ORACLE_SQL: dict[str, str] = {
