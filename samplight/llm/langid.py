@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +34,14 @@ from samplight.llm.wordstore import WordStore
 #: Labelled documents of a language that the model is fitted on, on average (chosen by a hash of doc_id).
 SAMPLE_DOCS = 800
 #: Distinct words of a language that fitting looks at, most frequent first.
-SAMPLE_WORDS = 60_000
+SAMPLE_WORDS = 40_000
 ROUNDS = 4
 #: Added to every piece's expected count.
 SMOOTHING = 0.05
 MAX_WORD = 32
-STORE_WORDS = 400_000
+#: Words that are held in memory with all their arcs.
+ARC_WORDS = 8_192
+STORE_WORDS = 250_000
 #: Below this posterior probability a document counts as not identified.
 LEAST_SCORE = 0.5
 ENDS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‚‘’¿¡…–—"
@@ -68,7 +70,7 @@ class Pieces:
         #: One more stands for a character that is no piece.
         self.count = len(strings) + 1
 
-    def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def arcs(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(first position of each word, arcs' starts, ends, pieces), arcs by place in their word, then by end.
 
         Each word has one position more than it has characters with its mark.
@@ -106,17 +108,14 @@ def _sweep(source: np.ndarray, to: np.ndarray, step: np.ndarray, weight: np.ndar
 def forward(pieces: Pieces, words: list[str], chances: np.ndarray) -> np.ndarray:
     """Natural log of each word's probability in each language, over all segmentations."""
     out = np.zeros((len(words), chances.shape[1]))
-    short, owner = [], []
-    for k, w in enumerate(words):
-        for j in range(0, len(w), MAX_WORD):
-            short.append(w[j : j + MAX_WORD])
-            owner.append(k)
-    if short:
+    cut = [(w[j : j + MAX_WORD], k) for k, w in enumerate(words) for j in range(0, len(w), MAX_WORD)]
+    for k in range(0, len(cut), ARC_WORDS):
+        short, owner = zip(*cut[k : k + ARC_WORDS], strict=True)
         firsts, starts, ends, which = pieces.arcs(short)
-        alpha = np.zeros((firsts[-1] + len(short[-1]) + 2, chances.shape[1]))
+        last = firsts + np.fromiter(map(len, short), np.int64, len(short)) + 1
+        alpha = np.zeros((int(last[-1]) + 1, chances.shape[1]))
         alpha[firsts] = 1
         _sweep(starts, ends, pieces.places, chances[which], alpha)
-        last = firsts + np.fromiter(map(len, short), np.int64, len(short)) + 1
         np.add.at(out, np.array(owner), np.log(alpha[last]))
     return out
 
@@ -125,28 +124,32 @@ def fit(pieces: Pieces, words: list[str], counts: np.ndarray, rounds: int = ROUN
     """Piece probabilities (piece x language) from word counts (word x language)."""
     n_langs = counts.shape[1]
     cut = [(w[j : j + MAX_WORD], k) for k, w in enumerate(words) for j in range(0, len(w), MAX_WORD)]
-    short, owner = [w for w, _ in cut], np.array([k for _, k in cut], np.int64)
-    firsts, starts, ends, which = pieces.arcs(short)
-    places = pieces.places
-    last = firsts + np.fromiter(map(len, short), np.int64, len(short)) + 1
-    n_positions = int(last[-1]) + 1
-    word_of = np.searchsorted(firsts, ends - 1, side="right") - 1
-    to_end = last[word_of] - starts
-    back = np.lexsort((starts, to_end))
     chances = np.full((pieces.count, n_langs), 1 / pieces.count)
     for _ in range(rounds):
-        weight = chances[which]
-        alpha, beta = np.zeros((n_positions, n_langs)), np.zeros((n_positions, n_langs))
-        alpha[firsts], beta[last] = 1, 1
-        _sweep(starts, ends, places, weight, alpha)
-        _sweep(ends[back], starts[back], to_end[back], weight[back], beta)
-        share = counts[owner] / alpha[last]
-        expected = alpha[starts] * weight * beta[ends] * share[word_of]
-        sums = np.stack([np.bincount(which, expected[:, j], pieces.count) for j in range(n_langs)], axis=1) + SMOOTHING
+        sums = np.full((pieces.count, n_langs), SMOOTHING)
+        for k in range(0, len(cut), ARC_WORDS):
+            _expect(pieces, [w for w, _ in cut[k : k + ARC_WORDS]], counts[[i for _, i in cut[k : k + ARC_WORDS]]], chances, sums)
         chances = sums / sums.sum(axis=0)
     return chances
 
 
+def _expect(pieces: Pieces, words: list[str], counts: np.ndarray, chances: np.ndarray, sums: np.ndarray) -> None:
+    """Add to sums how often each piece is expected in words that occur counts times."""
+    firsts, starts, ends, which = pieces.arcs(words)
+    last = firsts + np.fromiter(map(len, words), np.int64, len(words)) + 1
+    word_of = np.searchsorted(firsts, ends - 1, side="right") - 1
+    to_end = last[word_of] - starts
+    back = np.lexsort((starts, to_end))
+    weight = chances[which]
+    alpha, beta = (np.zeros((int(last[-1]) + 1, chances.shape[1])) for _ in range(2))
+    alpha[firsts], beta[last] = 1, 1
+    _sweep(starts, ends, pieces.places, weight, alpha)
+    _sweep(ends[back], starts[back], to_end[back], weight[back], beta)
+    expected = alpha[starts] * weight * beta[ends] * (counts / alpha[last])[word_of]
+    for j in range(chances.shape[1]):
+        sums[:, j] += np.bincount(which, expected[:, j], pieces.count)
+
+
 def cores(column: pa.Array) -> tuple[Words, np.ndarray, list[str]]:
     """The texts' words, and for each distinct one its core's row in a list of distinct cores."""
     words = Words(pc.utf8_lower(plain_strings(column)))
@@ -189,13 +192,17 @@ def train(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = SAM
     sample = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1_000_000)) < F.element_at(rates, F.col("lang")))
     counted = map_arrow(sample.select("text", "lang"), _count_words, "lang string, word string, n long")
     counted = counted.filter("word != ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words: dict[str, np.ndarray] = {}
+    rows: dict[str, int] = {}
+    cells: list[tuple[int, int, int]] = []
     for k, lang in enumerate(langs):
         for r in counted.filter(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(SAMPLE_WORDS).toLocalIterator():
-            words.setdefault(r["word"], np.zeros(len(langs)))[k] = r["n"]
-    if not words:
+            cells.append((rows.setdefault(r["word"], len(rows)), k, r["n"]))
+    if not rows:
         return Model([], vocabulary, np.zeros((0, 0)))
-    return Model(langs, vocabulary, fit(Pieces(vocabulary), list(words), np.array(list(words.values()))))
+    counts = np.zeros((len(rows), len(langs)))
+    for row, k, n in cells:
+        counts[row, k] = n
+    return Model(langs, vocabulary, fit(Pieces(vocabulary), list(rows), counts))
 
 
 _SCORERS: dict[str, WordStore] = {}
