@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from samplight.llm import bpe, exact_dedup, langid, packing, quality, sharding, token_files, toxicity
+from samplight.llm import bpe, exact_dedup, langid, minhash, packing, quality, sharding, token_files, toxicity
 from samplight.llm.common import documents
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), percent=85)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -47,7 +51,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_token_files, op4_packing, op5_bpe, op7_toxicity, op8_quality, op9_sharding, op10_langid)
+    f.__name__: f for f in (op1_near_duplicates, op2_exact_dedup, op3_token_files, op4_packing, op5_bpe, op7_toxicity, op8_quality, op9_sharding, op10_langid)
 }
 
 ORACLE_SQL: dict[str, str] = {
