@@ -14,10 +14,11 @@ fewer words is one shingle). Two documents are linked when
    posterior probability of a similarity at or above the threshold (uniform
    prior) is below MISS. Survivors are verified on the full sets.
 4. Components of those links are labelled. Where a bucket still has members of
-   several components, all pairs between components go through 3, compared in
-   blocks of bounded size inside one task and never written out: only pairs
-   that survive the batches are. At most KEPT a member and round are; rounds go
-   on until none is left over.
+   several components, all pairs between components go through 3 in place:
+   first on the codes, which leaves the members that have a surviving pair,
+   then on the full sets of those. Buckets are dealt out in pairs of blocks of
+   bounded size, a pair of documents is looked at in the first band it shares,
+   and only links that join components are written.
 
 A pair at the threshold is missed by all bands with probability
 (1 - s**ROWS)**BANDS: 7e-8 at 0.85, 1.5e-5 at 0.8.
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplight.llm.common import Words, hash_strings, map_arrow, mix64, stage, text_slices
+from samplight.llm.common import Words, hash_strings, map_arrow, mix64, ragged_take, stage, text_slices
 from samplight.llm.graph import components
 
 SHINGLE = 5
@@ -52,8 +53,8 @@ BATCH = 20
 MISS = 1e-6
 #: Members that one block holds; two blocks are compared in one task.
 BLOCK = 1_024
-#: Surviving pairs of a member that one block writes in the first round.
-KEPT = 64
+#: Shingles that one block holds, about (8 bytes each).
+BLOCK_SHINGLES = 1 << 20
 #: Documents whose ids (8 bytes each) may be broadcast.
 BROADCAST_IDS = 2_000_000
 
@@ -184,40 +185,8 @@ def _confirm(percent: int):
     return run
 
 
-def _across(percent: int, kept: int):
-    """Surviving pairs between components inside groups of rows sorted by group."""
-    least = least_matches(percent)
-
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        group, block, comp, size, ids = (t.column(c).to_numpy() for c in ("grp", "block", "comp", "n_shingles", "id"))
-        crossing = t.column("crossing").to_numpy()
-        codes = _codes(t.column("codes").combine_chunks() if t.num_rows else pa.array([], pa.binary()))
-        ends = np.searchsorted(group, group, side="right")
-        idx = np.arange(len(group))
-        left, right, score = [], [], []
-        lag = 0
-        while len(idx):
-            lag += 1
-            idx = idx[idx + lag < ends[idx]]
-            a, b = idx, idx + lag
-            ok = (comp[a] != comp[b]) & (~crossing[a] | (block[a] != block[b])) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
-            a, b = a[ok], b[ok]
-            if len(a):
-                alive, m = survivors(a, b, codes, codes, least)
-                left.append(a[alive]), right.append(b[alive]), score.append(m)
-        a, b, m = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, score))
-        rank = np.zeros(len(a), np.int64)
-        for side in (a, b):  # a pair stays if it is among the best of either member
-            order = np.lexsort((-m, side))
-            first = np.searchsorted(side[order], side[order])
-            own = np.empty(len(a), np.int64)
-            own[order] = np.arange(len(a)) - first
-            rank = own if side is a else np.minimum(rank, own)
-        stay = rank < kept
-        cut = bool((~stay).any())
-        a, b = ids[a[stay]], ids[b[stay]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), cut))], names=["a", "b", "cut"])
+def _grouped(run_group):
+    """Hands whole groups of rows sorted by grp to run_group, some groups at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -225,18 +194,101 @@ def _across(percent: int, kept: int):
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([held, t]) if held is not None else t
+            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
             group = t.column("grp").to_numpy()
             whole = int(np.searchsorted(group, group[-1]))
             if whole:
-                yield pairs(t.slice(0, whole))
+                yield run_group(t.slice(0, whole).combine_chunks())
             held = t.slice(whole)
         if held is not None:
-            yield pairs(held)
+            yield run_group(held.combine_chunks())
 
     return run
 
 
+def _pairs_across(t: pa.Table, percent: int, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a group, of different components, that survive the batches.
+
+    A pair meets in every band that it shares; it is looked at in the first.
+    """
+    if not t.num_rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    group, band, block, comp, size, crossing = (t.column(c).to_numpy() for c in ("grp", "band", "block", "comp", "n_shingles", "crossing"))
+    codes = _codes(t.column("codes").chunk(0))
+    keys = np.frombuffer(pa.concat_arrays([t.column("bands").chunk(0)]).buffers()[2], np.uint64).reshape(-1, BANDS)
+    ends = np.searchsorted(group, group, side="right")
+    idx, lag = np.arange(len(group)), 0
+    left, right = [], []
+    while len(idx):
+        lag += 1
+        idx = idx[idx + lag < ends[idx]]
+        a, b = idx, idx + lag
+        ok = (comp[a] != comp[b]) & (~crossing[a] | (block[a] != block[b])) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
+        a, b = a[ok], b[ok]
+        if len(a):
+            first = (keys[a] == keys[b]).argmax(axis=1) == band[a]
+            a, b = a[first], b[first]
+            alive, _ = survivors(a, b, codes, codes, least)
+            left.append(a[alive])
+            right.append(b[alive])
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _needed(percent: int):
+    """Rows with a surviving pair in their group."""
+    least = least_matches(percent)
+
+    def of(t: pa.Table) -> pa.RecordBatch:
+        rows = pa.array(np.unique(np.concatenate(_pairs_across(t, percent, least))))
+        return pa.RecordBatch.from_arrays([t.column(c).take(rows).combine_chunks() if len(rows) else pa.array([], t.schema.field(c).type) for c in t.column_names], names=t.column_names)
+
+    return _grouped(of)
+
+
+def _link_across(percent: int):
+    """Links that join the components in each group, verified on the sets.
+
+    A member is compared with all its pairs at once; pairs of components that
+    a link has joined meanwhile are passed over.
+    """
+    least = least_matches(percent)
+
+    def of(t: pa.Table) -> pa.RecordBatch:
+        left, right = _pairs_across(t, percent, least)
+        out: list[tuple[int, int]] = []
+        if len(left):
+            order = np.lexsort((right, left))
+            left, right = left[order], right[order]
+            group, label, ids = t.column("grp").to_numpy(), t.column("comp").to_numpy().copy(), t.column("id").to_numpy()
+            column = pa.concat_arrays([t.column("shingles").chunk(0)])
+            offsets = np.frombuffer(column.buffers()[1], np.int32)[: len(column) + 1].astype(np.int64) // 8
+            flat = np.frombuffer(column.buffers()[2], np.uint64)
+            size = np.diff(offsets)
+            begins = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1])))
+            for lo, hi in zip(begins.tolist(), [*begins[1:].tolist(), len(left)], strict=True):
+                a, others = left[lo], right[lo:hi]
+                others = others[label[others] != label[a]]
+                if not len(others):
+                    continue
+                own = flat[offsets[a] : offsets[a + 1]]
+                theirs = ragged_take(flat, offsets[others], size[others])
+                at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+                both = np.add.reduceat((own[at] == theirs).astype(np.int64), np.cumsum(size[others]) - size[others])
+                linked = others[100 * both >= percent * (len(own) + size[others] - both)]
+                if len(linked):
+                    first, last = np.searchsorted(group, [group[a], group[a] + 1])
+                    mine = label[first:last]
+                    for b in linked.tolist():
+                        if label[b] != label[a]:
+                            out.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+                            mine[mine == label[b]] = label[a]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return _grouped(of)
+
+
 class Linker:
     """Verifies candidate pairs of some documents."""
 
@@ -245,7 +297,7 @@ class Linker:
         ids = stage(members.select("id").distinct(), "candidate-ids")
         few = ids.count() <= BROADCAST_IDS
         ids = F.broadcast(ids) if few else ids
-        self.codes = stage(reps.join(ids, "id", "left_semi").select("id", "n_shingles", "codes"), "codes")
+        self.codes = stage(reps.join(ids, "id", "left_semi").select("id", "n_shingles", "codes", "bands"), "codes")
         texts = docs.select("doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
         self.sets = stage(map_arrow(texts, _sets, "id long, shingles binary"), "sets")
 
@@ -255,7 +307,7 @@ class Linker:
         return pairs
 
     def prune(self, pairs: DataFrame) -> DataFrame:
-        sized = self._joined(pairs, self.codes)
+        sized = self._joined(pairs, self.codes.drop("bands"))
         smaller, larger = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
         sized = sized.filter(100 * smaller >= self.percent * larger).select("a", "b", "codes_a", "codes_b")
         return stage(map_arrow(sized, _prune(self.percent), "a long, b long"), "survivors")
@@ -272,7 +324,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     scanned = stage(map_arrow(hashed, _scan, "doc_id long, n_shingles long, d1 long, d2 long, bands binary, codes binary"), "signatures")
     reps = scanned.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles")
     reps = stage(reps.agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("codes").alias("codes")), "distinct-sets")
-    keys = reps.select("id", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(bands, 8 * i + 1, 8)))")).alias("key"))
+    keys = reps.select("id", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(bands, 8 * i + 1, 8)))")).alias("band", "key"))
     buckets = stage(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     members = stage(keys.join(buckets, "key"), "members")
     linker = Linker(docs, reps, members, percent)
@@ -285,31 +337,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     links = linker.confirm(linker.prune(tried))
     labels = components(links)
 
-    kept = KEPT
-    crowded = members.filter("n > 2")
-    while True:
-        known = labels.select("id", F.col("label").alias("comp"))
-        labelled = stage(crowded.join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "labelled")
-        still_open = stage(labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key"), "open")
-        blocks = F.expr(f"cast(ceil(n / {BLOCK}) as int)")
-        dealt = labelled.join(still_open, "key", "left_semi").withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-        dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        dealt = dealt.select("id", "comp", "block", (F.col("other") != F.col("block")).alias("off"), F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("grp"))
-        # a group of two blocks compares across them only; that of one block has its own rows
-        dealt = dealt.join(linker.codes, "id").withColumnRenamed("off", "crossing")
-        dealt = dealt.repartition("grp").sortWithinPartitions("grp").select("grp", "block", "comp", "crossing", "n_shingles", "id", "codes")
-        found = stage(map_arrow(dealt, _across(percent, kept), "a long, b long, cut boolean"), "across")
-        new = stage(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "new-pairs")
-        more = linker.confirm(new)
-        left_over = found.filter("cut").limit(1).count() > 0
-        if more.limit(1).count():
-            links = stage(links.union(more), "links")
-            labels = components(links)
-        elif left_over:
-            kept *= 4
-        if not left_over:
-            break
-        tried = stage(tried.union(new), "pairs")
+    crowded = members.filter("n > 2").join(labels.select("id", F.col("label").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    crowded = stage(crowded.join(linker.codes.select("id", "n_shingles"), "id"), "crowded")
+    still_open = crowded.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum("n_shingles").alias("shingles")).filter("x < y")
+    still_open = stage(still_open.select("key", "shingles"), "open")
+    dealt = crowded.join(still_open, "key").withColumn("blocks", F.expr(f"cast(ceil(greatest(n / {BLOCK}, shingles / {BLOCK_SHINGLES})) as int)"))
+    dealt = dealt.withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    group = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))  # two blocks, or one with itself
+    dealt = dealt.select("id", "comp", "band", "block", (F.col("other") != F.col("block")).alias("crossing"), group.alias("grp"))
+    dealt = dealt.join(linker.codes, "id").repartition("grp").sortWithinPartitions("grp")
+    needed = stage(map_arrow(dealt, _needed(percent), dealt.schema), "needed")
+    met = needed.join(linker.sets, "id").repartition("grp").sortWithinPartitions("grp")
+    more = stage(map_arrow(met, _link_across(percent), "a long, b long").distinct(), "links")
+    if more.limit(1).count():
+        labels = components(links.union(more))
 
     named = reps.join(labels, "id", "left").filter("copies > 1 or label is not null").select("d1", "d2", "n_shingles", F.coalesce("label", "id").alias("component"))
     named = stage(named, "components")
