@@ -1,0 +1,197 @@
+"""Scoring by prediction by partial matching, pretrained on the corpus.
+
+A text is its words (runs of characters other than ``[\\x20\\x09-\\x0D]``, A-Z
+in lower case), each ended by a space, and one end (a line feed). The trie holds
+counts of every byte after its contexts of two, one and no bytes; contexts
+start anew at each word, after spaces. A byte not seen in a context costs an
+escape (distinct followers over followers plus distinct) to the next shorter
+one, where the symbols already seen are excluded; the last resort is uniform.
+The trie has at most 256 + 256**2 + 256**3 counts and the table of
+probabilities made from it at most 256**3 numbers, whatever the input; that is
+what goes to the driver and back.
+
+Word counts have no bound, so they never leave the executors: documents are
+read in blocks, each with a dictionary of its words; the dictionaries' rows meet
+the counts by word and go back to their block, where the documents are scored.
+
+Edge cases: null and empty texts are one end; a null doc_id is never held out;
+rows that repeat a document are scored, and learnt from, each; without training
+documents counts are 0 and the model is uniform; an empty table gives an empty
+result; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from samplight.llm.common import Words, map_arrow, ship, stage, text_slices
+
+#: Text bytes of one block, about.
+BLOCK_BYTES = 12 << 20
+SPACE, END = 0x20, 0x0A
+HELD_OUT = "coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 1, false)"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block a row for each document, and one with the dictionary."""
+    part, seq = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for rows in text_slices(batch, limit=BLOCK_BYTES):
+            words = Words(rows.column("text"), lower=True)
+            n, n_words = rows.num_rows, np.diff(words.offsets)
+            train = ~np.asarray(rows.column("held_out"))
+            counts = np.bincount(words.codes[np.repeat(train, n_words)], minlength=len(words.uniq))
+            codes = words.codes.astype(np.int32)
+            binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((4 * words.offsets).astype(np.int32)), pa.py_buffer(codes)])
+            block = (part << 32) + seq
+            seq += 1
+            used = np.flatnonzero(np.bincount(words.codes, minlength=len(words.uniq)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, block)), rows.column("doc_id"), rows.column("held_out"), binary, pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64()))],
+                schema=_BLOCKS,
+            )
+            dictionary = [[block], [None], [None], [None], [words.uniq.take(pa.array(used)).to_pylist()], [used.tolist()], [counts[used].tolist()]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(dictionary, _BLOCKS, strict=True)], schema=_BLOCKS)
+
+
+_BLOCKS = pa.schema([
+    ("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("codes", pa.binary()),
+    ("words", pa.list_(pa.string())), ("word_codes", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())),
+])
+BLOCKS = "block long, doc_id long, held_out boolean, codes binary, words array<string>, word_codes array<int>, counts array<long>"
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts of two bytes, next bytes, word of each) over words that end with a space."""
+    column = pa.concat_arrays([column])
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[: len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    sizes = np.diff(offsets) + 1
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    ends = np.cumsum(sizes)
+    symbols = np.full(int(sizes.sum()), SPACE, np.int64)
+    inner = np.ones(len(symbols), bool)
+    inner[ends - 1] = False
+    symbols[inner] = data
+    place = np.arange(len(symbols)) - (ends - sizes)[word]
+    one = np.where(place >= 1, np.roll(symbols, 1), SPACE)
+    two = np.where(place >= 2, np.roll(symbols, 2), SPACE)
+    return two * 256 + one, symbols, word
+
+
+def _trie_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            context, symbol, word = _bytes(batch.column("word"))
+            weight = batch.column("c").to_numpy()[word]
+            node, inverse = np.unique(context * 256 + symbol, return_inverse=True)
+            sums = np.zeros(len(node), np.int64)
+            np.add.at(sums, inverse, weight)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(sums)], names=["node", "n"])
+
+
+class Trie:
+    """Log10 probabilities of every byte after every context of two bytes.
+
+    Contexts that were met have a row each; others take that of their last byte.
+    """
+
+    def __init__(self, nodes: np.ndarray, counts: np.ndarray):
+        context, symbol = nodes // 256, nodes % 256
+        one = np.zeros((256, 256))
+        np.add.at(one, (context % 256, symbol), counts)
+        none = one.sum(axis=0)
+        met, row = np.unique(context, return_inverse=True)
+        self.rows = np.zeros(65_536, np.int32)
+        self.rows[:] = np.arange(65_536) % 256
+        self.rows[met] = 256 + np.arange(len(met))
+        self.logs = np.empty((256 + len(met), 256), np.float32)
+        for c in range(256):
+            self.logs[c] = np.log10(blend([one[c], none]))
+        order = np.argsort(row, kind="stable")
+        ends = np.searchsorted(row[order], np.arange(len(met) + 1))
+        for k, c in enumerate(met.tolist()):
+            own = order[ends[k] : ends[k + 1]]
+            two = np.zeros(256)
+            two[symbol[own]] = counts[own]
+            self.logs[256 + k] = np.log10(blend([two, one[c % 256], none]))
+
+    def word_scores(self, words: pa.Array) -> np.ndarray:
+        context, symbol, word = _bytes(words)
+        return np.bincount(word, self.logs[self.rows[context], symbol].astype(np.float64), len(words))
+
+    def end_score(self) -> float:
+        return float(self.logs[self.rows[SPACE * 256 + SPACE], END])
+
+
+def blend(orders: list[np.ndarray]) -> np.ndarray:
+    """Probabilities of all symbols from counts in contexts, longest first, with escapes and exclusion."""
+    out, left, open_ = np.zeros(len(orders[0])), 1.0, np.ones(len(orders[0]), bool)
+    for counts in orders:
+        counts = np.where(open_, counts, 0)
+        total, distinct = counts.sum(), np.count_nonzero(counts)
+        if total:
+            if distinct == open_.sum():  # nothing left to escape to
+                out += left * counts / total
+                return out
+            out += left * counts / (total + distinct)
+            left *= distinct / (total + distinct)
+            open_ &= counts == 0
+    out[open_] = left / open_.sum()
+    return out
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
+    spark = docs.sparkSession
+    ship(spark)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.expr(HELD_OUT).alias("held_out"))
+    blocks = stage(map_arrow(rows, _blocks, BLOCKS), "lm-blocks", "zstd")
+    entries = blocks.filter("words is not null").select("block", F.explode(F.arrays_zip("words", "word_codes", "counts")).alias("e")).select("block", F.col("e.words").alias("word"), F.col("e.word_codes").alias("code"), F.col("e.counts").alias("n"))
+    words = stage(entries.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
+    ends = blocks.filter("words is null and not held_out").count()
+    known = words.filter("c > 0").agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
+    total, distinct = (known["n"] or 0) + ends, known["v"] + (ends > 0)
+    base = lambda c: f"log10((cast({c} as double) + 0.5) / {total + 0.5 * (distinct + 1)!r}D)"
+
+    nodes = map_arrow(words.filter("c > 0"), _trie_counts, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    table = nodes.toArrow()  # at most 256**3 rows
+    nodes, counts = table.column("node").to_numpy(), table.column("n").to_numpy()
+    if ends:
+        nodes, counts = np.append(nodes, (SPACE * 256 + SPACE) * 256 + END), np.append(counts, ends)
+    trie = Trie(nodes.astype(np.int64), counts.astype(np.float64))
+    shared = spark.sparkContext.broadcast(trie)
+    end_base = spark.range(1).select(F.expr(base(ends))).first()[0]
+    end_score, end_known = trie.end_score(), int(ends > 0)
+
+    def word_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.word_scores(batch.column("word")) if batch.num_rows else [], pa.float64())], names=["word", "c", "base", "score"])
+
+    scored = stage(map_arrow(words.select("word", "c", F.expr(base("c")).alias("base")), word_scores, "word string, c long, base double, score double"), "lm-scores")
+    back = entries.select("block", "code", "word").join(scored, "word").select(F.col("block").alias("of"), "code", (F.col("c") > 0).alias("known"), "base", "score")
+
+    def of_block(texts: pa.Table, values: pa.Table) -> pa.Table:
+        n = texts.num_rows
+        codes = [np.frombuffer(x.as_buffer(), np.int32) for x in texts.column("codes")]
+        n_words = np.fromiter(map(len, codes), np.int64, n)
+        at = np.concatenate([np.zeros(0, np.int32), *codes])
+        per_code = np.zeros((int(at.max()) + 1 if len(at) else 0, 3))
+        if values.num_rows:
+            per_code[values.column("code").to_numpy()] = np.stack([values.column(c).to_numpy().astype(np.float64) for c in ("known", "base", "score")], axis=1)
+        owner = np.repeat(np.arange(n), n_words)
+        known, low, high = (np.bincount(owner, per_code[at, k], n) for k in range(3))
+        return pa.table({
+            "doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": n_words + 1, "n_known": known.astype(np.int64) + end_known,
+            "train_tokens": np.full(n, total, np.int64), "base_score": low + end_base, "score": high + end_score,
+        })
+
+    documents = blocks.filter("words is null").select("block", "doc_id", "held_out", "codes")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return documents.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(of_block, schema)

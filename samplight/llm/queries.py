@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from samplight.llm import bpe, exact_dedup, langid, minhash, packing, quality, sharding, token_files, toxicity
+from samplight.llm import bpe, exact_dedup, langid, lm, minhash, packing, quality, sharding, token_files, toxicity
 from samplight.llm.common import documents
 
 
@@ -30,6 +30,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(documents(spark, sf_dir))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.grade(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -51,7 +55,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_duplicates, op2_exact_dedup, op3_token_files, op4_packing, op5_bpe, op7_toxicity, op8_quality, op9_sharding, op10_langid)
+    f.__name__: f for f in (op1_near_duplicates, op2_exact_dedup, op3_token_files, op4_packing, op5_bpe, op6_lm_score, op7_toxicity, op8_quality, op9_sharding, op10_langid)
 }
 
 ORACLE_SQL: dict[str, str] = {
