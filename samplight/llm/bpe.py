@@ -34,7 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from samplight.llm.common import Words, lean_worker, map_arrow, ragged_take, text_slices
+from samplight.llm.common import Words, kept, map_arrow, ragged_take, text_slices
 from samplight.llm.tokens import CACHE_WORDS, IdStore, cut_tails, default_vocabulary
 
 WORD_END = "</w>"
@@ -230,14 +230,8 @@ class TextCoder:
         return ragged_take(flat, starts[words.codes], of_word), ends[words.offsets]
 
 
-_CODERS: dict[str, TextCoder] = {}
-
-
 def text_coder(vocabulary: str) -> TextCoder:
-    if vocabulary not in _CODERS:
-        lean_worker()
-        _CODERS[vocabulary] = TextCoder(vocabulary)
-    return _CODERS[vocabulary]
+    return kept(("bpe", vocabulary), lambda: TextCoder(vocabulary))
 
 
 def _joined(strings: pa.Array, lengths: np.ndarray) -> pa.Array:

@@ -6,6 +6,8 @@ maximal run of other characters.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import io
 import itertools
 import os
@@ -17,7 +19,8 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; what bounds a worker's memory.
 SLICE_BYTES = 7 << 20
@@ -83,9 +86,50 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with the package shipped."""
+    """mapInArrow with the package shipped; a worker returns the memory it freed after each task."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make: Callable[[], object]):
+    """What this worker process keeps between tasks: one costly object, the last asked for."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+#: Rows to drop that may be broadcast (16 bytes each); more of them meet the documents in a shuffle.
+BROADCAST_LOST = 1_000_000
+
+
+def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id and text_hash (that of text_hash()) are in lost; all columns as they were."""
+    lost = stage(lost.select(F.col("doc_id").alias("__lost_id"), F.col("text_hash").alias("__lost_hash")).distinct(), "lost")
+    if lost.count() <= BROADCAST_LOST:
+        lost = F.broadcast(lost)
+    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("__lost_id")) & (text_hash(docs["text"]) == F.col("__lost_hash")), "left_anti")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system, where the C library can."""
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def lean_worker() -> None:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samplight.llm.common import stage
+from samplight.llm.common import stage, text_hash, without
 
 #: Characters of the normalised text that the second refinement hashes.
 PREFIX_CHARS = 64
@@ -59,9 +59,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
+    """doc_id, keep_id, group_size, kept, text_sha256, text_hash for every row of docs."""
     groups = exact_groups(docs).select("full_hash", "keep_id", "group_size")
-    rows = docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("full_hash"))
+    rows = docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("full_hash"), text_hash(F.col("text")).alias("text_hash"))
     rows = rows.join(groups, "full_hash", "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return rows.select(
@@ -70,12 +70,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.lower(F.hex("full_hash")).alias("text_sha256"),
+        "text_hash",
     )
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows that are not kept; all columns as they were."""
-    lost = exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("__lost_id"), F.unhex("text_sha256").alias("__lost_hash")).distinct()
-    lost = stage(lost, "exact-lost")
-    here = F.unhex(F.sha2(normalised(docs["text"]), 256))
-    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("__lost_id")) & (here == F.col("__lost_hash")), "left_anti")
+    return without(docs, exact_dedup(docs).filter("not kept"))

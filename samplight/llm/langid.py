@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplight.llm.common import Words, lean_worker, map_arrow, plain_strings, text_slices
+from samplight.llm.common import Words, kept, map_arrow, plain_strings, text_slices
 from samplight.llm.wordstore import WordStore
 
 #: Labelled documents of a language that the model is fitted on, on average (chosen by a hash of doc_id).
@@ -41,7 +41,9 @@ SMOOTHING = 0.05
 MAX_WORD = 32
 #: Words that are held in memory with all their arcs.
 ARC_WORDS = 8_192
-STORE_WORDS = 250_000
+STORE_WORDS = 150_000
+#: Text bytes that one step of a prediction works on.
+PREDICT_BYTES = 2 << 20
 #: Below this posterior probability a document counts as not identified.
 LEAST_SCORE = 0.5
 ENDS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‚‘’¿¡…–—"
@@ -205,16 +207,12 @@ def train(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = SAM
     return Model(langs, vocabulary, fit(Pieces(vocabulary), list(rows), counts))
 
 
-_SCORERS: dict[str, WordStore] = {}
-
-
 def _scorer(model: Model) -> WordStore:
-    if model.key not in _SCORERS:
-        lean_worker()
-        _SCORERS.clear()
+    def make() -> WordStore:
         pieces = Pieces(model.vocabulary)
-        _SCORERS[model.key] = WordStore(STORE_WORDS, len(model.langs), lambda words: forward(pieces, words, model.chances))
-    return _SCORERS[model.key]
+        return WordStore(STORE_WORDS, len(model.langs), lambda words: forward(pieces, words, model.chances))
+
+    return kept(("langid", model.key), make)
 
 
 def predict(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +233,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in text_slices(batch):
+            for rows in text_slices(batch, limit=PREDICT_BYTES):
                 lang, score = predict(shared.value, rows.column("text"))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -249,10 +247,10 @@ def keep_identified(docs: DataFrame, model: Model, least_score: float = LEAST_SC
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in text_slices(batch):
+            for rows in text_slices(batch, limit=PREDICT_BYTES):
                 _, score = predict(shared.value, rows.column("text"))
-                kept = rows.filter(pa.array(score >= least_score))
-                if kept.num_rows:
-                    yield kept
+                good = rows.filter(pa.array(score >= least_score))
+                if good.num_rows:
+                    yield good
 
     return map_arrow(docs, run, docs.schema)

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplight.llm.common import Words, hash_strings, map_arrow, mix64, ragged_take, stage, text_slices
+from samplight.llm.common import Words, hash_strings, map_arrow, mix64, ragged_take, stage, text_hash, text_slices, without
 from samplight.llm.graph import components
 
 SHINGLE = 5
@@ -111,7 +111,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for column, x in zip(out, (len(s), int(first.astype(np.int64)), int(second.astype(np.int64)), keys, codes), strict=True):
                     column.append(x)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=["doc_id", "n_shingles", "d1", "d2", "bands", "codes"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=["doc_id", "text_hash", "n_shingles", "d1", "d2", "bands", "codes"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,8 +320,8 @@ class Linker:
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and text_hash for every row of docs."""
     docs = docs.select("doc_id", "text")
-    hashed = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    scanned = stage(map_arrow(hashed, _scan, "doc_id long, n_shingles long, d1 long, d2 long, bands binary, codes binary"), "signatures")
+    hashed = docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash"))
+    scanned = stage(map_arrow(hashed, _scan, "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, bands binary, codes binary"), "signatures")
     reps = scanned.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles")
     reps = stage(reps.agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("codes").alias("codes")), "distinct-sets")
     keys = reps.select("id", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(bands, 8 * i + 1, 8)))")).alias("band", "key"))
@@ -354,13 +354,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     named = reps.join(labels, "id", "left").filter("copies > 1 or label is not null").select("d1", "d2", "n_shingles", F.coalesce("label", "id").alias("component"))
     named = stage(named, "components")
-    rows = scanned.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
+    rows = scanned.select("doc_id", "text_hash", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
 
 
 def keep_representatives(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with the smallest doc_id of every group only; all columns as they were."""
-    lost = stage(near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("__lost_id")).distinct(), "near-lost")
-    return docs.join(lost, docs["doc_id"] == F.col("__lost_id"), "left_anti")
+    return without(docs, near_duplicates(docs, percent).filter("not kept"))

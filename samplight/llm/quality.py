@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samplight.llm.common import stage
+from samplight.llm.common import stage, text_hash, without
 
 SPACE = "[\\x20\\x09-\\x0D]"
 MIN_WORDS = 50
@@ -53,19 +53,19 @@ def _without(text: str, pattern: str) -> str:
     return f"cast(length({text}) - length(regexp_replace({text}, '{pattern}', '')) as long)"
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, a hash of the text, and the counts that the rules read; no shuffle.
+def statistics(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, the counts that the rules read, and the columns carried; no shuffle.
 
     Repeated windows: hashes of all 3-word windows are sorted with their
     positions in the low bits, equal neighbours give the positions, and gaps
     between those give the words covered.
     """
-    t = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("t"))
+    t = docs.select("doc_id", *carried, F.coalesce("text", F.lit("")).alias("t"))
     t = t.withColumn("b", F.expr("btrim(t, ' \\t\\n\\u000b\\u000c\\r')"))
     t = t.withColumn("w", F.expr(f"if(b = '', cast(array() as array<string>), split(b, r'{SPACE}+'))"))
     t = t.withColumn("lines", F.expr("filter(split(t, '\\n'), x -> btrim(x, ' \\t\\n\\u000b\\u000c\\r') != '')"))
     t = t.select(
-        "doc_id", "text_hash", "w",
+        "doc_id", *carried, "w",
         F.size("w").cast("long").alias("n_words"),
         F.expr(f"cast(length(regexp_replace(b, r'{SPACE}+', '')) as long)").alias("word_chars"),
         F.expr(_without("b", "[#*$%&|<>]+")).alias("n_symbols"),
@@ -141,14 +141,18 @@ def estimate(voted: DataFrame) -> tuple[dict[str, tuple[float, float]], float]:
     return accuracy, prior
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """Statistics, votes, p_good and kept for every row of docs."""
-    voted = stage(votes(statistics(docs)), "votes")
-    return voted.withColumn("p_good", posterior(*estimate(voted))).withColumn("kept", F.expr("not base_failed and p_good >= 0.5"))
+def quality(docs: DataFrame, *carried: str) -> DataFrame:
+    """Statistics, votes, p_good, kept and the columns carried for every row of docs."""
+    voted = stage(votes(statistics(docs, *carried)), "votes")
+    accuracy, prior = estimate(voted)
+    return voted.withColumn("p_good", posterior(accuracy, prior)).withColumn("kept", verdict(accuracy, prior))
+
+
+def verdict(accuracy: dict[str, tuple[float, float]], prior: float) -> Column:
+    return ~F.col("base_failed") & (posterior(accuracy, prior) >= 0.5)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """docs without the rows that are not kept; all columns as they were."""
-    lost = quality(docs).filter("not kept").select(F.col("doc_id").alias("__lost_id"), F.col("text_hash").alias("__lost_hash")).distinct()
-    lost = stage(lost, "quality-lost")
-    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("__lost_id")) & (F.xxhash64(docs["text"]) == F.col("__lost_hash")), "left_anti")
+    named = docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash"))
+    return without(docs, quality(named, "text_hash").filter("not kept"))

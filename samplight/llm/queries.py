@@ -11,11 +11,11 @@ from samplight.llm.common import documents
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(documents(spark, sf_dir), percent=85)
+    return minhash.near_duplicates(documents(spark, sf_dir), percent=85).drop("text_hash")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(documents(spark, sf_dir))
+    return exact_dedup.exact_dedup(documents(spark, sf_dir)).drop("text_hash")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from samplight.llm.common import Words, lean_worker, ragged_take
+from samplight.llm.common import Words, kept, ragged_take
 
 #: Strings that a store holds before it starts anew.
 CACHE_WORDS = 500_000
@@ -168,12 +168,5 @@ class LibraryEncoder:
         return out, ends[words.offsets]
 
 
-_ENCODERS: dict[str, LibraryEncoder] = {}
-
-
 def library_encoder(vocabulary: str) -> LibraryEncoder:
-    """One for each worker process; it outlives tasks."""
-    if vocabulary not in _ENCODERS:
-        lean_worker()
-        _ENCODERS[vocabulary] = LibraryEncoder(vocabulary)
-    return _ENCODERS[vocabulary]
+    return kept(("library", vocabulary), lambda: LibraryEncoder(vocabulary))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplight.llm.common import lean_worker, map_arrow, stage, text_slices
+from samplight.llm.common import kept, map_arrow, stage, text_slices
 from samplight.llm.langid import cores
 
 #: Labelled documents of each kind that the model is fitted on, on average.
@@ -160,8 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     n0, n1 = found[0], found[1]
     share = (F.col("toxic") + F.col("clean")) / F.lit(n0 + n1)
     apart = (F.col("toxic") / n1 - F.col("clean") / n0) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n0 + 1 / n1))
-    kept = counted.withColumn("z", apart).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()
-    features = [r["feature"] for r in kept]
+    best = counted.withColumn("z", apart).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()
+    features = [r["feature"] for r in best]
     if not features:
         return Model([], np.zeros(0), np.zeros(1))
     shared = spark.sparkContext.broadcast(features)
@@ -186,15 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     return Model(features, *fit(rows, columns, grades, weights, len(features)))
 
 
-_MATCHERS: dict[str, Matcher] = {}
-
-
 def _matcher(model: Model) -> Matcher:
-    if model.key not in _MATCHERS:
-        lean_worker()
-        _MATCHERS.clear()
-        _MATCHERS[model.key] = Matcher(model.features)
-    return _MATCHERS[model.key]
+    return kept(("toxicity", model.key), lambda: Matcher(model.features))
 
 
 def grade(docs: DataFrame, model: Model, least_toxic: float = LEAST_TOXIC) -> DataFrame:
