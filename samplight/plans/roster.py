@@ -5,6 +5,178 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from samplight.functions import estimators
+from samplight.operators import samplers
+from samplight.plans import engine, validation
+from samplight.plans.spec import QuerySpec, parse
+from samplight.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+KEYS = {"orders": "o_orderkey", "events": "event_id"}
+DIGITS = 2
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _positioned(spark: SparkSession, sf_dir: str, name: str = "orders") -> DataFrame:
+    return samplers.with_position(_table(spark, sf_dir, name), KEYS[name], dense=True)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, DIGITS).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql is not None:
+        ORACLE_SQL[name] = sql
+
+
+def _positions_sql(name: str) -> str:
+    return f"t AS (SELECT *, {KEYS[name]} AS pos, count(*) OVER () AS nn FROM {name})"
+
+
+def _estimate_sql(name: str, spec: QuerySpec, percent: int, method: str) -> str:
+    exact = percent <= 0 or percent >= 100
+    keys = ", ".join(spec.group_by)
+    where = f"WHERE ({spec.where})" if spec.where else ""
+    grouped, lead = (f"GROUP BY {keys}", f"{keys}, ") if keys else ("", "")
+    x = "1" if spec.column == "*" else spec.column
+    chosen = "" if exact else f"WHERE {samplers.predicate(method, 'nn', percent, '//')}"
+    head = f"WITH {_positions_sql(name) if name in KEYS else f't AS (SELECT * FROM {name})'}, p AS (SELECT * FROM t {chosen})"
+    head += f", g AS (SELECT {lead}count({x}) AS n, sum(CAST({x} AS DOUBLE)) AS s, sum(CAST({x} AS DOUBLE) * CAST({x} AS DOUBLE)) AS ss FROM p {where} {grouped})"
+    if exact:
+        value = {"sum": "s", "count": "CAST(n AS DOUBLE)", "avg": "s / n"}[spec.agg]
+        return f"{head} SELECT {lead}round({value}, 2) AS value, round({value}, 2) AS ci_lower, round({value}, 2) AS ci_upper, n FROM g"
+    head += f", e AS (SELECT g.*, (SELECT CAST(count(*) AS DOUBLE) FROM p) AS m, (SELECT CAST(count(*) AS DOUBLE) FROM {name}) AS nn FROM g)"
+    value, margin = estimators.value_sql(spec.agg, "nn"), estimators.margin_sql(spec.agg, "nn", 1.96)
+    head += f", v AS (SELECT *, CASE WHEN n > 0 THEN {value} END AS value, {margin} AS margin FROM e)"
+    if keys:
+        match = " AND ".join(f"d.{k} IS NOT DISTINCT FROM v.{k}" for k in spec.group_by)
+        source = f"(SELECT DISTINCT {keys} FROM t {where}) d LEFT JOIN v ON {match}"
+        lead = "".join(f"d.{k}, " for k in spec.group_by)
+        return f"{head} SELECT {lead}round(value, 2) AS value, round(value - margin, 2) AS ci_lower, round(value + margin, 2) AS ci_upper, coalesce(n, 0) AS n FROM {source}"
+    return f"{head} SELECT round(value, 2) AS value, round(value - margin, 2) AS ci_lower, round(value + margin, 2) AS ci_upper, n FROM v"
+
+
+def _estimate(query: str, sql: str, percent: int = 0, method: str = "index") -> None:
+    spec = parse(sql)
+    chosen = percent or spec.percent or (engine.DEFAULT_PERCENT if spec.approximate else 0)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _rounded(engine.estimate(_table(spark, sf_dir, spec.table), spec, chosen, KEYS.get(spec.table), method))
+
+    _add(query, run, _estimate_sql(spec.table, spec, chosen, method))
+
+
+for _agg in ("sum", "avg", "count"):
+    _estimate(f"exact_{_agg}", f"SELECT {_agg}(o_totalprice) FROM orders")
+    _estimate(f"exact_groupby_{_agg}", f"SELECT {_agg}(l_extendedprice) FROM lineitem GROUP BY l_returnflag, l_linestatus")
+    for _percent in (10, 15, 20):
+        _estimate(f"approx_{_agg}_{_percent}", f"SELECT {_agg}(o_totalprice) FROM orders", _percent)
+    _estimate(f"approx_{_agg}_ci", f"SELECT {_agg}(value) FROM events", 10, "sequential")
+    _estimate(f"approx_groupby_{_agg}_ci", f"SELECT {_agg}(o_totalprice) FROM orders GROUP BY o_orderstatus", 10)
+    _estimate(f"sched_{_agg}_where", f"SELECT {_agg}(o_totalprice) FROM orders WHERE o_totalprice BETWEEN 1000 AND 200000", 10, "parallel_pointer")
+_estimate("exact_sum_range", "SELECT SUM(o_totalprice) FROM orders WHERE o_totalprice >= 1000 AND o_totalprice <= 90000")
+_estimate("approx_where_or", "SELECT SUM(o_totalprice) FROM orders WHERE o_orderstatus = 'F' OR o_totalprice > 300000", 10)
+_estimate("groupby_missing_groups", "SELECT SUM(value) FROM events GROUP BY user_id", 1)
+_estimate("approx_fn_syntax", "SELECT APPROX_SUM(o_totalprice, 15) FROM orders")
+_estimate("approx_wrap_syntax", "SELECT APPROX(SUM(o_totalprice)) FROM orders")
+_estimate("agg_stride_sum", "SELECT SUM(o_totalprice) FROM orders", 10, "memory_stride")
+_estimate("expression_aggregate", "SELECT SUM(abs(o_totalprice - 1000)) FROM orders WHERE o_orderstatus IN ('F', 'O')", 20, "block")
+
+
+def _sampled(method: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return samplers.sample(_positioned(spark, sf_dir), method, 10).select("o_orderkey", "o_totalprice")
+
+    _add(f"s_{method}", run, f"WITH {_positions_sql('orders')} SELECT o_orderkey, o_totalprice FROM t WHERE {samplers.predicate(method, 'nn', 10, '//')}")
+
+
+for _method in samplers.METHODS:
+    _sampled(_method)
+
+_add(
+    "s_dual_pointer",
+    lambda spark, sf_dir: samplers.dual_pointer_sample(_positioned(spark, sf_dir), 10).select("o_orderkey", "o_totalprice"),
+    f"WITH {_positions_sql('orders')} SELECT o_orderkey, o_totalprice FROM t WHERE {samplers.dual_predicate('nn', 10, '//')}",
+)
+_add(
+    "s_random_hash",
+    lambda spark, sf_dir: samplers.random_sample(_positioned(spark, sf_dir), 10).select("o_orderkey", "o_totalprice"),
+    f"""WITH {_positions_sql("orders")}, r AS (SELECT *, row_number() OVER (ORDER BY (pos * 2654435761) % 4294967296, pos) AS k FROM t)
+    SELECT o_orderkey, o_totalprice FROM r WHERE k <= nn * 10 // 100""",
+)
+_add("s_stratified_block", lambda spark, sf_dir: samplers.stratified_sample(_positioned(spark, sf_dir), "o_totalprice", 10).select("o_orderkey", "o_totalprice", "stratum"))
+_add(
+    "s_adaptive_block",
+    lambda spark, sf_dir: samplers.adaptive_block_sample(_positioned(spark, sf_dir), "o_totalprice", 10).select("o_orderkey", "o_totalprice"),
+    f"""WITH {_positions_sql("orders")}, z AS (SELECT *, least(pos // greatest(1, nn // 10), 9) AS zone FROM t),
+    b AS (SELECT zone, var_pop(o_totalprice) AS v FROM z GROUP BY zone),
+    w AS (SELECT zone, CASE WHEN max(v) OVER () > 0 THEN 500 + CAST(floor(1500 * (1 - v / max(v) OVER ())) AS BIGINT) ELSE 500 END AS width FROM b)
+    SELECT o_orderkey, o_totalprice FROM z JOIN w USING (zone) WHERE (pos - zone * greatest(1, nn // 10)) % width < greatest(1, width * 10 // 100)""",
+)
+_add(
+    "gather_by_index",
+    lambda spark, sf_dir: samplers.gather(_positioned(spark, sf_dir), [0, 7, 7, 99, 1200]).select("o_orderkey", "o_totalprice"),
+    "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (0, 7, 99, 1200)",
+)
+_add(
+    "slices_fast",
+    lambda spark, sf_dir: _rounded(validation.slice_estimates(_positioned(spark, sf_dir), "o_totalprice", 50)),
+    "SELECT o_orderkey % 50 AS slice, count(o_totalprice) AS n, round(sum(o_totalprice) * 50, 2) AS estimate FROM orders GROUP BY 1",
+)
+_SLICES = "s AS (SELECT o_orderkey % 50 AS slice, sum(o_totalprice) * 50 AS estimate FROM orders GROUP BY 1)"
+_add(
+    "adaptive_verdict",
+    lambda spark, sf_dir: _rounded(validation.verdict(validation.slice_estimates(_positioned(spark, sf_dir), "o_totalprice", 50), 40)),
+    f"""WITH {_SLICES}, a AS (SELECT avg(estimate) FILTER (slice < 40) AS value, avg(estimate) FILTER (slice >= 40) AS slow,
+    stddev_samp(estimate) FILTER (slice >= 40) AS sd FROM s), c AS (SELECT *, greatest(0, least(1, 1 - sd / abs(slow))) AS l FROM a)
+    SELECT round(value, 2) AS value, round(l, 2) AS confidence_level,
+    CASE WHEN abs(value - slow) / abs(value) <= 0.05 AND l >= 0.95 THEN 'STABLE' ELSE 'DRIFTING' END AS status FROM c""",
+)
+_add(
+    "clt_progressive",
+    lambda spark, sf_dir: _rounded(validation.progressive(_positioned(spark, sf_dir), "o_totalprice")),
+    """SELECT stage, count(o_totalprice) AS n, round(avg(o_totalprice), 2) AS mean,
+    round(100 * 1.96 * stddev_samp(o_totalprice) / sqrt(count(o_totalprice)) / abs(avg(o_totalprice)), 2) AS error_percent
+    FROM orders JOIN (VALUES (50), (25), (10), (5)) x(stage) ON o_orderkey % stage = 0 GROUP BY stage""",
+)
+
+
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative error of the sampled sum at each rate, in one pass over the table."""
+    positioned = _positioned(spark, sf_dir)
+    size = positioned.count()
+    sums = [F.sum("o_totalprice").alias("exact")]
+    for p in (1, 5, 10, 20, 50):
+        chosen = F.expr(samplers.predicate("index", size, p))
+        sums.append((F.sum(F.when(chosen, F.col("o_totalprice"))) * size / F.sum(F.when(chosen, 1))).alias(f"p{p}"))
+    totals = positioned.agg(*sums)
+    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("percent"), (100 * F.abs(F.col(f"p{p}") - F.col("exact")) / F.col("exact")).alias("error_percent")) for p in (1, 5, 10, 20, 50)]))
+    return _rounded(totals.select(rows.alias("r")).select("r.*"))
+
+
+_add(
+    "bench_error_by_rate",
+    _errors,
+    f"WITH {_positions_sql('orders')}, x AS (SELECT sum(o_totalprice) AS exact FROM t) "
+    + " UNION ALL ".join(
+        f"SELECT {p} AS percent, round(100 * abs(sum(o_totalprice) * max(nn) / count(*) - (SELECT exact FROM x)) / (SELECT exact FROM x), 2) AS error_percent "
+        f"FROM t WHERE {samplers.predicate('index', 'nn', p, '//')}"
+        for p in (1, 5, 10, 20, 50)
+    ),
+)
+_add(
+    "table_stats",
+    lambda spark, sf_dir: _rounded(tables.statistics(_table(spark, sf_dir, "orders"))),
+    "SELECT count(*) AS total_records, count(*) // 255 + 1 AS node_count, round(count(*) * 32 / 1048576.0, 2) AS size_mb FROM orders",
+)
+_add("example_table", lambda spark, sf_dir: tables.example_table(spark), "SELECT i AS id, i * 1.5::DOUBLE AS value FROM range(1, 11) r(i)")
+_add("sales_generator", lambda spark, sf_dir: tables.sales_table(spark, 1000))
