@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import io
 import itertools
 import os
@@ -91,6 +92,7 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterable[
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_worker()
+        give_back()
         try:
             yield from run(batches)
         finally:
@@ -106,6 +108,8 @@ def kept(key: tuple, make: Callable[[], object]):
     """What this worker process keeps between tasks: one costly object, the last asked for."""
     if key not in _KEPT:
         _KEPT.clear()
+        gc.collect()
+        give_back()
         _KEPT[key] = make()
     return _KEPT[key]
 

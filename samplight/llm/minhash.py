@@ -57,6 +57,8 @@ BLOCK = 1_024
 BLOCK_SHINGLES = 1 << 20
 #: Documents whose ids (8 bytes each) may be broadcast.
 BROADCAST_IDS = 2_000_000
+#: Text bytes that one step of a scan works on.
+SCAN_BYTES = 3 << 20
 
 _HORNER = np.uint64(0x9DDFEA08EB382D69)
 _RANDOM = np.random.default_rng(517)
@@ -102,7 +104,7 @@ def signature(shingles: np.ndarray) -> tuple[bytes, bytes]:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows in text_slices(batch):
+        for rows in text_slices(batch, limit=SCAN_BYTES):
             out: list[list] = [[], [], [], [], []]
             for s in shingle_sets(rows.column("text")):
                 keys, codes = signature(s) if len(s) else (None, None)
@@ -116,7 +118,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows in text_slices(batch):
+        for rows in text_slices(batch, limit=SCAN_BYTES):
             sets = [s.tobytes() for s in shingle_sets(rows.column("text"))]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
 

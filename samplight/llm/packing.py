@@ -28,6 +28,8 @@ WIDTH = 2048
 END_ID = 1
 #: Pieces in a group, on average: what one call packs in memory.
 GROUP_PIECES = 4096
+#: Text bytes that one step of cutting works on.
+CUT_BYTES = 4 << 20
 
 
 class Tournament:
@@ -68,7 +70,7 @@ def _cut(vocabulary: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(vocabulary)
         for batch in batches:
-            for rows in text_slices(batch):
+            for rows in text_slices(batch, limit=CUT_BYTES):
                 flat, offsets = encoder.batch(rows.column("text"))
                 sizes = np.diff(offsets) + 1
                 data = memoryview(np.insert(flat, offsets[1:], end_id).astype("<u4").tobytes())

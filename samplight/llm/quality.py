@@ -36,7 +36,7 @@ RULES: dict[str, tuple[str, float, float]] = {
     "repeated_lines": ("n_dup_lines / greatest(n_lines, 8)", 0.10, 0.30),
     "long_words": ("word_chars / n_words", 12.0, 16.0),
     "short_words": ("-word_chars / n_words", -2.5, -2.0),
-    "distinct_words": ("-n_distinct / least(n_words, 200)", -0.30, -0.15),
+    "distinct_words": ("-n_distinct / greatest(least(n_words, 200), 1)", -0.30, -0.15),
     "sentences": ("-n_stops / n_words", -0.02, -0.004),
 }
 #: Where expectation-maximisation starts: right on good and on bad documents, and the share of good ones.
