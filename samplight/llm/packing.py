@@ -28,8 +28,10 @@ WIDTH = 2048
 END_ID = 1
 #: Pieces in a group, on average: what one call packs in memory.
 GROUP_PIECES = 4096
+#: Words whose ids a worker keeps; fewer than elsewhere, as packing comes after stages that fill the heap.
+STORE_WORDS = 200_000
 #: Text bytes that one step of cutting works on.
-CUT_BYTES = 4 << 20
+CUT_BYTES = 3 << 20
 
 
 class Tournament:
@@ -68,7 +70,7 @@ def first_fit_decreasing(lengths: np.ndarray, width: int) -> tuple[np.ndarray, n
 
 def _cut(vocabulary: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(vocabulary)
+        encoder = library_encoder(vocabulary, STORE_WORDS)
         for batch in batches:
             for rows in text_slices(batch, limit=CUT_BYTES):
                 flat, offsets = encoder.batch(rows.column("text"))

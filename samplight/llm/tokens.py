@@ -116,14 +116,14 @@ class LibraryEncoder:
     #: Plain words that one call encodes, as a text with spaces between.
     JOINED = 200
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, store_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.store = IdStore(CACHE_WORDS, self._encode)
+        self.store = IdStore(store_words, self._encode)
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -168,5 +168,5 @@ class LibraryEncoder:
         return out, ends[words.offsets]
 
 
-def library_encoder(vocabulary: str) -> LibraryEncoder:
-    return kept(("library", vocabulary), lambda: LibraryEncoder(vocabulary))
+def library_encoder(vocabulary: str, store_words: int = CACHE_WORDS) -> LibraryEncoder:
+    return kept(("library", vocabulary, store_words), lambda: LibraryEncoder(vocabulary, store_words))
