@@ -41,9 +41,9 @@ SMOOTHING = 0.05
 MAX_WORD = 32
 #: Words that are held in memory with all their arcs.
 ARC_WORDS = 8_192
-STORE_WORDS = 150_000
+STORE_WORDS = 250_000
 #: Text bytes that one step of a prediction works on.
-PREDICT_BYTES = 2 << 20
+PREDICT_BYTES = 3 << 20
 #: Below this posterior probability a document counts as not identified.
 LEAST_SCORE = 0.5
 ENDS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‚‘’¿¡…–—"
