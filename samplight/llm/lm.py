@@ -1,14 +1,19 @@
 """Scoring by prediction by partial matching, pretrained on the corpus.
 
 A text is its words (runs of characters other than ``[\\x20\\x09-\\x0D]``, A-Z
-in lower case), each ended by a space, and one end (a line feed). The trie holds
-counts of every byte after its contexts of two, one and no bytes; contexts
-start anew at each word, after spaces. A byte not seen in a context costs an
-escape (distinct followers over followers plus distinct) to the next shorter
-one, where the symbols already seen are excluded; the last resort is uniform.
-The trie has at most 256 + 256**2 + 256**3 counts and the table of
-probabilities made from it at most 256**3 numbers, whatever the input; that is
-what goes to the driver and back.
+in lower case), each ended by a space, and one end (a line feed). Contexts start
+anew at each word. After the first two bytes of a word, the context of a byte is
+all of the word before it, up to DEPTH bytes: a trie that grows with the
+corpus. A byte not seen there costs an escape (distinct followers over
+followers plus distinct) to the contexts of two, one and no bytes, where the
+symbols already seen are excluded; the last resort is uniform. Bytes beyond
+DEPTH start from the context of two. Only the counts of contexts of at most two
+bytes (256 + 256**2 + 256**3 at most, whatever the input) go to the driver and
+back.
+
+The deep trie stays on the executors. Words are sorted over the whole table, so
+that each node's words lie together, and scored in chunks of consecutive words;
+nodes that a chunk's border cuts are summed and joined to their words.
 
 Word counts have no bound, so they never leave the executors: documents are
 read in blocks, each with a dictionary of its words; the dictionaries' rows meet
@@ -22,7 +27,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +40,10 @@ from samplight.llm.common import Words, map_arrow, ship, stage, text_slices
 #: Text bytes of one block, about.
 BLOCK_BYTES = 12 << 20
 SPACE, END = 0x20, 0x0A
+#: Bytes of the longest context.
+DEPTH = 12
+#: Words, and bytes of words, that are scored at a time.
+CHUNK_WORDS, CHUNK_BYTES = 100_000, 2 << 20
 HELD_OUT = "coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 1, false)"
 
 
@@ -122,9 +131,10 @@ class Trie:
             two[symbol[own]] = counts[own]
             self.logs[256 + k] = np.log10(blend([two, one[c % 256], none]))
 
-    def word_scores(self, words: pa.Array) -> np.ndarray:
+    def byte_scores(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(score, symbol, word) of every byte of the words and the spaces after them."""
         context, symbol, word = _bytes(words)
-        return np.bincount(word, self.logs[self.rows[context], symbol].astype(np.float64), len(words))
+        return self.logs[self.rows[context], symbol].astype(np.float64), symbol, word
 
     def end_score(self) -> float:
         return float(self.logs[self.rows[SPACE * 256 + SPACE], END])
@@ -147,6 +157,118 @@ def blend(orders: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def deep_scores(trie: Trie, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[bytes, int, int, float]]]:
+    """Scores of sorted distinct words, from the nodes that lie whole among them.
+
+    (scores, bytes of each word whose node may go on elsewhere, all bytes'
+    scores from the short contexts by word and place, those nodes' children as
+    (context, symbol, count, score)). The first are the bytes 2, 3, ... of the word.
+    """
+    n = len(words)
+    low, symbol, word = trie.byte_scores(words)
+    sizes = np.bincount(word, minlength=n)  # with the space
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(word)) - starts[word]
+    out = np.bincount(word, np.where((place < 2) | (place > DEPTH), low, 0.0), n)
+    near = place <= DEPTH
+    table, lows = np.zeros((n, DEPTH + 1), np.uint8), np.zeros((n, DEPTH + 1))
+    table[word[near], place[near]] = symbol[near]
+    lows[word[near], place[near]] = low[near]
+    shared = np.zeros(n, np.int64)  # bytes shared with the word before
+    shared[1:] = np.cumprod(table[1:] == table[:-1], axis=1).sum(axis=1)
+    open_bytes, cut = np.zeros(n, np.int64), []
+    for k in range(2, DEPTH + 1):
+        rows = np.flatnonzero(sizes > k)
+        if not len(rows):
+            break
+        new, new_child = shared[rows] < k, shared[rows] < k + 1
+        new[0] = new_child[0] = True
+        node, child = np.cumsum(new) - 1, np.cumsum(new_child) - 1
+        first = rows[new_child]
+        of = node[new_child]
+        c = np.bincount(child, counts[rows])
+        met = c > 0
+        total, distinct = np.bincount(of, c), np.bincount(of, met)
+        excluded = np.bincount(of, np.where(met, 10.0 ** lows[first, k], 0.0))
+        open_node = np.zeros(len(total), bool)
+        if rows[0] == 0:
+            open_node[0] = True
+        if rows[-1] == n - 1:
+            open_node[-1] = True
+        of_child = lows[first, k].copy()
+        all_ = total[of] + distinct[of]
+        of_child[met] = np.log10(c[met] / all_[met])
+        escaped = ~met & (total[of] > 0)
+        rest = np.maximum(1 - excluded[of], 10.0**of_child)
+        of_child[escaped] += np.log10(distinct[of][escaped] / all_[escaped]) - np.log10(rest[escaped])
+        is_open = open_node[node]
+        out[rows] += np.where(is_open, 0.0, of_child[child])
+        open_bytes[rows[is_open]] = k - 1
+        for j in np.flatnonzero(open_node[of] & met).tolist():
+            r = first[j]
+            cut.append((table[r, :k].tobytes(), int(table[r, k]), int(c[j]), float(lows[r, k])))
+    return out, open_bytes, lows, cut
+
+
+_SCORED = pa.schema([
+    ("word", pa.string()), ("c", pa.int64()), ("score", pa.float64()), ("lows", pa.list_(pa.float32())),
+    ("context", pa.binary()), ("symbol", pa.int32()), ("n", pa.int64()), ("low", pa.float64()),
+])
+SCORED = "word string, c long, score double, lows array<float>, context binary, symbol int, n long, low double"
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        for piece in text_slices(batch, "word", CHUNK_BYTES):
+            for k in range(0, piece.num_rows, most):
+                part = piece.slice(k, most)
+                held.append(part)
+                rows, size = rows + part.num_rows, size + part.nbytes
+                if rows >= most or size >= CHUNK_BYTES:
+                    yield pa.Table.from_batches(held)
+                    held, rows, size = [], 0, 0
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _score_words(shared, chunk_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches, chunk_words):
+            words, counts = chunk.column("word").combine_chunks(), chunk.column("c").to_numpy()
+            scores, open_bytes, lows, cut = deep_scores(shared.value, words, counts)
+            n = len(words)
+            flat = np.concatenate([np.zeros(0), *(lows[r, 2 : 2 + open_bytes[r]] for r in np.flatnonzero(open_bytes).tolist())])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(open_bytes))), pa.int32()), pa.array(flat, pa.float32()))
+            none = [pa.nulls(n, f.type) for f in _SCORED][4:]
+            yield pa.RecordBatch.from_arrays([words, pa.array(counts), pa.array(scores), lists, *none], schema=_SCORED)
+            if cut:
+                none = [pa.nulls(len(cut), f.type) for f in _SCORED][:4]
+                yield pa.RecordBatch.from_arrays([*none, *(pa.array(x, f.type) for x, f in zip(zip(*cut, strict=True), list(_SCORED)[4:], strict=True))], schema=_SCORED)
+
+    return run
+
+
+def _word_scores(words: DataFrame, shared) -> DataFrame:
+    """word, c, score of every distinct word."""
+    ordered = words.repartitionByRange("word").sortWithinPartitions("word")
+    scored = stage(map_arrow(ordered, _score_words(shared, CHUNK_WORDS), SCORED), "lm-scores", "zstd")
+    children = scored.filter("context is not null").groupBy("context", "symbol").agg(F.sum("n").alias("n"), F.max("low").alias("low"))
+    nodes = children.groupBy("context").agg(
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("followers"), F.sum(F.pow(F.lit(10.0), F.col("low"))).alias("excluded"),
+        F.map_from_entries(F.collect_list(F.struct("symbol", "n"))).alias("n_of"),  # 256 entries at most
+    )
+    of_word = scored.filter("context is null")
+    open_ = of_word.filter("size(lows) > 0").select("word", F.posexplode("lows").alias("at", "low"))
+    bytes_ = "cast(concat(word, ' ') as binary)"
+    open_ = open_.select("word", F.col("low").cast("double").alias("low"), F.expr(f"substring({bytes_}, 1, at + 2)").alias("context"), F.expr(f"cast(conv(hex(substring({bytes_}, at + 3, 1)), 16, 10) as int)").alias("symbol"))
+    met = open_.join(nodes, "context", "left").withColumn("n", F.expr("try_element_at(n_of, symbol)"))
+    chance = F.expr("""case when total is null then low when n is not null then log10(n / (total + followers))
+        else low + log10(followers / (total + followers)) - log10(greatest(1 - excluded, pow(10D, low))) end""")
+    parts = of_word.select("word", "c", "score").unionAll(met.select("word", F.lit(0).cast("long").alias("c"), chance.alias("score")))
+    return parts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("score").cast("float").alias("score"))
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = docs.sparkSession
@@ -154,11 +276,11 @@ def score(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.expr(HELD_OUT).alias("held_out"))
     blocks = stage(map_arrow(rows, _blocks, BLOCKS), "lm-blocks", "zstd")
     entries = blocks.filter("words is not null").select("block", F.explode(F.arrays_zip("words", "word_codes", "counts")).alias("e")).select("block", F.col("e.words").alias("word"), F.col("e.word_codes").alias("code"), F.col("e.counts").alias("n"))
-    words = stage(entries.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
+    words = stage(entries.groupBy("word").agg(F.sum("n").alias("c")), "lm-words", "zstd")
     ends = blocks.filter("words is null and not held_out").count()
     known = words.filter("c > 0").agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
     total, distinct = (known["n"] or 0) + ends, known["v"] + (ends > 0)
-    base = lambda c: f"log10((cast({c} as double) + 0.5) / {total + 0.5 * (distinct + 1)!r}D)"
+    base = lambda c: np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
 
     nodes = map_arrow(words.filter("c > 0"), _trie_counts, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
     table = nodes.toArrow()  # at most 256**3 rows
@@ -167,15 +289,9 @@ def score(docs: DataFrame) -> DataFrame:
         nodes, counts = np.append(nodes, (SPACE * 256 + SPACE) * 256 + END), np.append(counts, ends)
     trie = Trie(nodes.astype(np.int64), counts.astype(np.float64))
     shared = spark.sparkContext.broadcast(trie)
-    end_base = spark.range(1).select(F.expr(base(ends))).first()[0]
-    end_score, end_known = trie.end_score(), int(ends > 0)
-
-    def word_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.word_scores(batch.column("word")) if batch.num_rows else [], pa.float64())], names=["word", "c", "base", "score"])
-
-    scored = stage(map_arrow(words.select("word", "c", F.expr(base("c")).alias("base")), word_scores, "word string, c long, base double, score double"), "lm-scores")
-    back = entries.select("block", "code", "word").join(scored, "word").select(F.col("block").alias("of"), "code", (F.col("c") > 0).alias("known"), "base", "score")
+    end_base, end_score, end_known = float(base(ends)), trie.end_score(), int(ends > 0)
+    scored = _word_scores(words, shared)
+    back = entries.select("block", "code", "word").join(scored, "word").select(F.col("block").alias("of"), "code", "c", "score")
 
     def of_block(texts: pa.Table, values: pa.Table) -> pa.Table:
         n = texts.num_rows
@@ -184,7 +300,8 @@ def score(docs: DataFrame) -> DataFrame:
         at = np.concatenate([np.zeros(0, np.int32), *codes])
         per_code = np.zeros((int(at.max()) + 1 if len(at) else 0, 3))
         if values.num_rows:
-            per_code[values.column("code").to_numpy()] = np.stack([values.column(c).to_numpy().astype(np.float64) for c in ("known", "base", "score")], axis=1)
+            c = values.column("c").to_numpy()
+            per_code[values.column("code").to_numpy()] = np.stack([c > 0, base(c), values.column("score").to_numpy()], axis=1)
         owner = np.repeat(np.arange(n), n_words)
         known, low, high = (np.bincount(owner, per_code[at, k], n) for k in range(3))
         return pa.table({

@@ -144,37 +144,59 @@ def test_bpe_digests(docs, rows):
     assert sorted(map(tuple, bpe.encode_and_decode(docs).collect())) == want
 
 
-def test_lm_score(docs, rows):
+@pytest.mark.parametrize("chunk", [100_000, 7])
+def test_lm_score(docs, rows, monkeypatch, chunk):
+    monkeypatch.setattr(lm, "CHUNK_WORDS", chunk)
+    deep = lm.DEPTH
     tokens = [[*WORDS.findall(_lower(t)), "\n"] for _, t, *_ in rows]
     held = [zlib.crc32(str(r[0]).encode()) % 5 == 1 for r in rows]
     counts = Counter(x for t, h in zip(tokens, held, strict=True) if not h for x in t)
     n, v = sum(counts.values()), len(counts)
-    trie: dict[bytes, Counter] = {}
-    for t, h in zip(tokens, held, strict=True):
-        for w in t if not h else []:
-            s = b"  " + (w.encode() + b" " if w != "\n" else b"\n")
-            for k in range(2, len(s)):
-                for order in range(3):
-                    trie.setdefault(s[k - order : k], Counter())[s[k]] += 1
-
-    def chance(context: bytes, symbol: int) -> float:
-        p, excluded = 1.0, set()
+    short: dict[bytes, Counter] = {}
+    whole: dict[bytes, Counter] = {}
+    for w, c in counts.items():
+        own = w.encode() + b" " if w != "\n" else b"\n"
+        s = b"  " + own
+        for k in range(2, len(s)):
+            for order in range(3):
+                short.setdefault(s[k - order : k], Counter())[s[k]] += c
+        for k in range(2, min(len(own), deep + 1)):
+            whole.setdefault(own[:k], Counter())[own[k]] += c
+
+    def low(context: bytes) -> list[float]:
+        out, left, excluded = [0.0] * 256, 1.0, set()
         for order in (2, 1, 0):
-            here = {s: c for s, c in trie.get(context[2 - order :], Counter()).items() if s not in excluded}
+            here = {s: c for s, c in short.get(context[2 - order :], Counter()).items() if s not in excluded}
             if here:
                 total, distinct = sum(here.values()), len(here)
-                if symbol in here:
-                    return p * here[symbol] / (total + distinct)
-                p *= distinct / (total + distinct)
+                for s, c in here.items():
+                    out[s] = left * c / (total + distinct)
+                left *= distinct / (total + distinct)
                 excluded |= set(here)
-        return p / (256 - len(excluded))
+        return [left / (256 - len(excluded)) if s not in excluded else x for s, x in enumerate(out)]
+
+    lows: dict[bytes, list[float]] = {}
+
+    def chances(own: bytes, k: int) -> list[float]:
+        """Of all symbols at byte k of a word with its space."""
+        context = (b"  " + own)[k : k + 2]
+        if context not in lows:
+            lows[context] = low(context)
+        here = whole.get(own[:k]) if 2 <= k <= deep else None
+        if not here:
+            return lows[context]
+        total, distinct = sum(here.values()), len(here)
+        rest = 1 - sum(lows[context][s] for s in here)
+        return [here[s] / (total + distinct) if s in here else distinct / (total + distinct) * x / rest for s, x in enumerate(lows[context])]
 
     memory: dict[str, float] = {}
     for got in lm.score(docs).collect():
         t = tokens[next(k for k, r in enumerate(rows) if r[0] == got["doc_id"])]
-        for w in t:
-            s = b"  " + (w.encode() + b" " if w != "\n" else b"\n")
-            memory.setdefault(w, sum(math.log10(chance(s[k - 2 : k], s[k])) for k in range(2, len(s))))
+        for w in set(t) - set(memory):
+            own = w.encode() + b" " if w != "\n" else b"\n"
+            each = [chances(own, k) for k in range(len(own))]
+            assert all(sum(x) == pytest.approx(1) for x in each)
+            memory[w] = sum(math.log10(x[s]) for x, s in zip(each, own, strict=True))
         assert (got["n_tokens"], got["n_known"], got["train_tokens"]) == (len(t), sum(counts[w] > 0 for w in t), n)
         assert got["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))
         assert got["score"] == pytest.approx(sum(memory[w] for w in t), rel=1e-4)
