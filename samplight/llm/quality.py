@@ -8,7 +8,10 @@ posterior probability of a good document replaces a list of rules that must
 all pass. A document with fewer than 50 words, or with more than half of its
 words in repeated 3-word windows, fails before any vote.
 
-Words are runs of characters other than ``[\\x20\\x09-\\x0D]``.
+Words are runs of characters other than ``[\\x20\\x09-\\x0D]``. Distinct words are
+counted in each of a text's consecutive windows of SPAN words, the last one
+shorter, and summed: over the number of words that is the mean share of
+distinct words, weighted by length, which doesn't fall as a text gets longer.
 
 Edge cases: null and empty texts have no words and fail; an empty table gives
 an empty result; rows that repeat a document get the same verdict; null doc_ids
@@ -26,6 +29,8 @@ from samplight.llm.common import stage, text_hash, without
 
 SPACE = "[\\x20\\x09-\\x0D]"
 MIN_WORDS = 50
+#: Words of one window in which distinct words are counted.
+SPAN = 200
 #: Rule: statistic, good if at most, bad if above (between them it abstains).
 #: Negated statistics make "at least" rules.
 RULES: dict[str, tuple[str, float, float]] = {
@@ -36,7 +41,7 @@ RULES: dict[str, tuple[str, float, float]] = {
     "repeated_lines": ("n_dup_lines / greatest(n_lines, 8)", 0.10, 0.30),
     "long_words": ("word_chars / n_words", 12.0, 16.0),
     "short_words": ("-word_chars / n_words", -2.5, -2.0),
-    "distinct_words": ("-n_distinct / greatest(least(n_words, 200), 1)", -0.30, -0.15),
+    "distinct_words": ("-n_distinct / n_words", -0.30, -0.15),
     "sentences": ("-n_stops / n_words", -0.02, -0.004),
 }
 #: Where expectation-maximisation starts: right on good and on bad documents, and the share of good ones.
@@ -74,7 +79,7 @@ def statistics(docs: DataFrame, *carried: str) -> DataFrame:
         F.expr(_without("b", "[.?!]+")).alias("n_stops"),
         F.size("lines").cast("long").alias("n_lines"),
         F.expr("cast(size(lines) - size(array_distinct(lines)) as long)").alias("n_dup_lines"),
-        F.expr("cast(size(array_distinct(slice(w, 1, 200))) as long)").alias("n_distinct"),
+        F.expr(f"if(b = '', 0L, aggregate(sequence(0, (size(w) - 1) div {SPAN}), 0L, (a, i) -> a + size(array_distinct(slice(w, cast(i as int) * {SPAN} + 1, {SPAN})))))").alias("n_distinct"),
         F.expr("greatest(size(w) - 2, 0)").alias("m"),
     )
     t = t.withColumn("bits", F.expr("coalesce(cast(ceil(log2(m + 1)) as int), 0)"))

@@ -217,6 +217,18 @@ def test_quality_statistics(docs, rows):
     assert quality.keep_good(docs).columns == docs.columns
 
 
+def test_quality_reads_distinct_words_of_whole_texts(spark):
+    r = random.Random(11)
+    clean = [f"word{r.randrange(3000)}" for _ in range(4000)]
+    poor = [f"w{r.randrange(15)}" for _ in range(4000)]
+    texts = {1: clean[:200] + poor, 2: poor[:200] + clean, 3: clean, 4: poor, 5: clean[:150], 6: []}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality.votes(quality.statistics(docs)).collect()}
+    for i, w in texts.items():
+        assert got[i]["n_distinct"] == sum(len(set(w[k : k + 200])) for k in range(0, len(w), 200))
+    assert {i: got[i]["v_distinct_words"] for i in range(1, 6)} == {1: -1, 2: 1, 3: 1, 4: -1, 5: 1}
+
+
 def test_sharding(docs, rows):
     got = sharding.shard_by_bytes(docs, 5).collect()
     by_shard: dict[int, list] = {}
