@@ -1,0 +1,167 @@
+"""Prediction by partial matching over running texts, pretrained on the corpus.
+
+A text is its words (runs of characters other than ``[\\x20\\x09-\\x0D]``, A-Z
+in lower case), each ended by a space, and one end (a line feed), as one
+sequence of bytes after ORDER line feeds. The context of a byte is the ORDER
+bytes before it, across words, with escapes (distinct followers over followers
+plus distinct) through every order down to none, where the symbols seen in the
+longer context are excluded; the last resort is uniform.
+
+A byte with its context is one number. Blocks of documents count their numbers
+once; the counts of shorter contexts are sums of those of longer ones. Each
+order is a table on the executors, joined to the next shorter one by the
+number without its first byte; a context has 256 rows at most and a row meets
+256 longer ones at most, so that no task depends on how often a passage occurs.
+The scores go back to their blocks, where they are summed over each text's bytes.
+
+Edge cases: as in ``lm``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from samplight.llm.common import Words, map_arrow, ragged_take, ship, stage, text_slices
+from samplight.llm.lm import BLOCK_BYTES, END, HELD_OUT
+
+#: Bytes of the longest context; 7 at most, as a byte with its context is a long.
+ORDER = 5
+#: Bytes that are looked up at a time.
+LOOKUP = 1 << 20
+
+
+def grams(words: Words, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(each byte with the bytes before it as a number, last byte in the lowest place; first byte of each text)."""
+    spaced = pa.concat_arrays([pc.binary_join_element_wise(words.uniq, "", " ")])
+    at = np.frombuffer(spaced.buffers()[1], np.int32)[: len(spaced) + 1].astype(np.int64) if len(spaced) else np.zeros(1, np.int64)
+    data = np.frombuffer(spaced.buffers()[2] or b"", np.uint8) if len(spaced) else np.zeros(0, np.uint8)
+    sizes = np.diff(at)[words.codes]
+    ends = np.concatenate(([0], np.cumsum(sizes)))[words.offsets]
+    lengths = np.diff(ends) + 1  # with the end
+    firsts = np.concatenate(([0], np.cumsum(lengths)))
+    padded = np.full(int(firsts[-1]) + order * len(lengths), END, np.uint8)
+    inner = np.ones(len(padded), bool)
+    starts = firsts[:-1] + order * np.arange(len(lengths))
+    for k in range(order):
+        inner[starts + k] = False
+    own = np.flatnonzero(inner)
+    inner[starts + order + lengths - 1] = False
+    padded[inner] = ragged_take(data, at[:-1][words.codes], sizes)
+    out = np.zeros(len(own), np.int64)
+    for k in range(order, -1, -1):
+        out <<= 8
+        out |= padded[own - k]
+    return out, firsts
+
+
+def _blocks(order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each block a row for each document, and one with its words and its grams."""
+        part, seq = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for rows in text_slices(batch, limit=BLOCK_BYTES):
+                words = Words(rows.column("text"), lower=True)
+                n, n_words = rows.num_rows, np.diff(words.offsets)
+                train = ~np.asarray(rows.column("held_out"))
+                counts = np.bincount(words.codes[np.repeat(train, n_words)], minlength=len(words.uniq))
+                used = np.flatnonzero(np.bincount(words.codes, minlength=len(words.uniq)))
+                keys, firsts = grams(words, order)
+                learnt = np.repeat(train, np.diff(firsts))
+                seen, times = np.unique(keys[learnt], return_counts=True)
+                new = np.setdiff1d(keys[~learnt], seen)
+                block = (part << 32) + seq
+                seq += 1
+                lists = [pa.nulls(n, f.type) for f in _BLOCKS][5:]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n)), rows.column("doc_id"), rows.column("held_out"), rows.column("text"), *lists], schema=_BLOCKS)
+                lists = [words.uniq.take(pa.array(used)), pa.array(used), pa.array(counts[used]), pa.array(np.concatenate((seen, new))), pa.array(np.concatenate((times, np.zeros(len(new), np.int64))))]
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+                yield pa.RecordBatch.from_arrays([pa.array([block]), *[pa.nulls(1, f.type) for f in list(_BLOCKS)[1:5]], *lists], schema=_BLOCKS)
+
+    return run
+
+
+_BLOCKS = pa.schema([
+    ("block", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()),
+    ("words", pa.list_(pa.string())), ("codes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
+    ("grams", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())),
+])
+BLOCKS = "block long, row long, doc_id long, held_out boolean, text string, words array<string>, codes array<long>, counts array<long>, grams array<long>, times array<long>"
+
+
+def gram_chances(counts: DataFrame, order: int) -> DataFrame:
+    """gram, p from gram, c (how often it was learnt, 0 for grams to score only)."""
+    levels = [counts]
+    for k in range(order - 1, -1, -1):
+        shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+        levels.insert(0, stage(levels[0].groupBy(shorter.alias("gram")).agg(F.sum("c").alias("c")), "ppm-counts", "zstd"))
+    chances = None
+    for k, level in enumerate(levels):
+        if chances is None:
+            rows = level.withColumn("low", F.lit(1 / 256))
+        else:
+            shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
+            rows = level.withColumn("short", shorter).join(chances.select(F.col("gram").alias("short"), F.col("p").alias("low")), "short").drop("short")
+        of = Window.partitionBy(F.shiftright("gram", 8))
+        met = F.when(F.col("c") > 0, 1).otherwise(0)
+        rows = rows.select("gram", "c", "low", F.sum("c").over(of).alias("total"), F.sum(met).over(of).alias("followers"), F.sum(met * F.col("low")).over(of).alias("excluded"))
+        chance = F.expr("""case when total = 0 then low when c > 0 then c / (total + followers)
+            else low * followers / (total + followers) / greatest(1 - excluded, low) end""")
+        chances = stage(rows.select("gram", chance.alias("p")), "ppm-chances", "zstd")
+    return chances
+
+
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
+    spark = docs.sparkSession
+    ship(spark)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.expr(HELD_OUT).alias("held_out"))
+    blocks = stage(map_arrow(rows, _blocks(order), BLOCKS), "ppm-blocks", "zstd")
+    lists = blocks.filter("words is not null")
+    entries = lists.select("block", F.explode(F.arrays_zip("words", "codes", "counts")).alias("e")).select("block", F.col("e.words").alias("word"), F.col("e.codes").alias("code"), F.col("e.counts").alias("n"))
+    words = stage(entries.groupBy("word").agg(F.sum("n").alias("c")), "ppm-words", "zstd")
+    ends = blocks.filter("words is null and not held_out").count()
+    known = words.filter("c > 0").agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
+    total, distinct = (known["n"] or 0) + ends, known["v"] + (ends > 0)
+    base = lambda c: np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
+    end_base, end_known = float(base(ends)), int(ends > 0)
+
+    counted = lists.select(F.explode(F.arrays_zip("grams", "times")).alias("e")).groupBy(F.col("e.grams").alias("gram")).agg(F.sum("e.times").alias("c"))
+    chances = gram_chances(stage(counted, "ppm-counts", "zstd"), order)
+    met = lists.select("block", F.explode("grams").alias("gram")).join(chances, "gram")
+    back = met.select(F.col("block").alias("of"), F.col("gram").alias("code"), F.lit(None).cast("long").alias("c"), F.log10("p").cast("float").alias("log"))
+    back = back.unionAll(entries.join(words, "word").select(F.col("block").alias("of"), "code", "c", F.lit(None).cast("float").alias("log")))
+
+    def of_block(texts: pa.Table, values: pa.Table) -> pa.Table:
+        texts = texts.sort_by("row").combine_chunks()
+        n = texts.num_rows
+        split = Words(texts.column("text").combine_chunks(), lower=True)
+        of_word = np.asarray(pc.is_valid(values.column("c")))
+        code = values.column("code").to_numpy()
+        c = np.zeros(len(split.uniq), np.int64)
+        c[code[of_word]] = values.column("c").drop_null().to_numpy()
+        ranked = np.argsort(code[~of_word])
+        known_grams, logs = code[~of_word][ranked], values.column("log").drop_null().to_numpy()[ranked]
+        keys, firsts = grams(split, order)
+        sums = np.zeros(n)
+        owner = np.repeat(np.arange(n), np.diff(firsts))
+        for k in range(0, len(keys), LOOKUP):
+            sums += np.bincount(owner[k : k + LOOKUP], logs[np.searchsorted(known_grams, keys[k : k + LOOKUP])].astype(np.float64), n)
+        n_words = np.diff(split.offsets)
+        of = np.repeat(np.arange(n), n_words)
+        known, low = (np.bincount(of, x[split.codes], n) for x in (c > 0, base(c)))
+        return pa.table({
+            "doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": n_words + 1, "n_known": known.astype(np.int64) + end_known,
+            "train_tokens": np.full(n, total, np.int64), "base_score": low + end_base, "score": sums,
+        })
+
+    documents = blocks.filter("words is null").select("block", "row", "doc_id", "held_out", "text")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return documents.groupBy("block").cogroup(back.groupBy("of")).applyInArrow(of_block, schema)

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from samplight.llm import bpe, exact_dedup, langid, lm, minhash, packing, quality, sharding, token_files, toxicity
+from samplight.llm import bpe, exact_dedup, langid, lm, minhash, packing, quality, running, sharding, token_files, toxicity
 from samplight.llm.tokens import default_vocabulary, library_encoder
 
 WORDS = re.compile(r"[^\x20\x09-\x0d]+")
@@ -202,6 +202,50 @@ def test_lm_score(docs, rows, monkeypatch, chunk):
         assert got["score"] == pytest.approx(sum(memory[w] for w in t), rel=1e-4)
 
 
+def test_running_score(docs, rows, empty, spark):
+    order = running.ORDER
+    texts = [b"\n" * order + b"".join(w.encode() + b" " for w in WORDS.findall(_lower(t))) + b"\n" for _, t, *_ in rows]
+    held = [zlib.crc32(str(r[0]).encode()) % 5 == 1 for r in rows]
+    counts: dict[bytes, Counter] = {}
+    for s, h in zip(texts, held, strict=True):
+        for k in range(order, len(s) if not h else 0):
+            for j in range(order + 1):
+                counts.setdefault(s[k - j : k], Counter())[s[k]] += 1
+    memory: dict[bytes, list[float]] = {}
+
+    def chances(context: bytes) -> list[float]:
+        if context not in memory:
+            low = chances(context[1:]) if context else [1 / 256] * 256
+            here = counts.get(context)
+            if here:
+                total, distinct = sum(here.values()), len(here)
+                rest = 1 - sum(low[s] for s in here)
+                low = [here[s] / (total + distinct) if s in here else distinct / (total + distinct) * x / rest for s, x in enumerate(low)]
+                assert sum(low) == pytest.approx(1)
+            memory[context] = low
+        return memory[context]
+
+    words = {r["doc_id"]: r for r in lm.score(docs).collect()}
+    got = running.score(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        s = texts[next(k for k, x in enumerate(rows) if x[0] == r["doc_id"])]
+        assert r["score"] == pytest.approx(sum(math.log10(chances(s[k - order : k])[s[k]]) for k in range(order, len(s))), rel=1e-4)
+        assert r[:5] == words[r["doc_id"]][:5] and r["base_score"] == pytest.approx(words[r["doc_id"]]["base_score"])
+    assert running.score(empty).collect() == []
+
+
+def test_op6_scores_texts_by_the_order_of_their_words(spark, tmp_path):
+    from samplight.llm.queries import QUERIES
+
+    phrase = "the quick brown fox jumps over a lazy dog".split()
+    mixed = phrase[::2] + phrase[1::2]
+    texts = [" ".join(phrase)] * 40 + [" ".join(mixed)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    score = {r["doc_id"]: r["score"] for r in QUERIES["op6_lm_score"](spark, str(tmp_path)).collect()}
+    assert score[0] > score[40] + 1
+
+
 def test_quality_statistics(docs, rows):
     got = {r["doc_id"]: r for r in quality.quality(docs).collect()}
     for i, t, *_ in rows:
