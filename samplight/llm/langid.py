@@ -33,8 +33,6 @@ from samplight.llm.wordstore import WordStore
 
 #: Labelled documents of a language that the model is fitted on, on average (chosen by a hash of doc_id).
 SAMPLE_DOCS = 800
-#: Distinct words of a language that fitting looks at, most frequent first.
-SAMPLE_WORDS = 40_000
 ROUNDS = 4
 #: Added to every piece's expected count.
 SMOOTHING = 0.05
@@ -197,7 +195,7 @@ def train(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = SAM
     rows: dict[str, int] = {}
     cells: list[tuple[int, int, int]] = []
     for k, lang in enumerate(langs):
-        for r in counted.filter(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(SAMPLE_WORDS).toLocalIterator():
+        for r in counted.filter(F.col("lang") == lang).orderBy(F.desc("n"), "word").toLocalIterator():
             cells.append((rows.setdefault(r["word"], len(rows)), k, r["n"]))
     if not rows:
         return Model([], vocabulary, np.zeros((0, 0)))

@@ -320,6 +320,14 @@ def test_langid_and_toxicity_held_out(spark):
     assert counts[True, 0] <= 0.02 * (counts[True, 0] + counts[False, 0])
 
 
+def test_langid_fits_on_all_words_of_its_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda pieces, words, counts: seen.append((len(words), counts.sum())) or np.ones((pieces.count, 1)))
+    words = ["".join(chr(97 + k // 26**j % 26) for j in range(4)) for k in range(45_000)]
+    langid.train(spark.createDataFrame([(i, " ".join(words[i::3]), "en") for i in range(3)], "doc_id long, text string, lang string"))
+    assert seen == [(45_000, 45_000)]
+
+
 def test_empty_tables(empty, spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     for run in (
