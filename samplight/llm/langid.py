@@ -8,7 +8,8 @@ fits the pieces on a bounded sample of labelled documents, whole texts.
 
 Texts are put in lower case, cut at white space, and punctuation at the ends
 of words is dropped; a character that no piece covers costs a fixed share.
-Words of more than MAX_WORD characters are summed in parts of that length.
+Words of more than PLAIN_CHARS characters are summed in logarithms, as their
+products underflow; those of more than ARC_CHARS keep the arcs of a part only.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0, as
 is everything where no labelled text was there to learn from; rows that repeat
@@ -36,9 +37,10 @@ SAMPLE_DOCS = 800
 ROUNDS = 4
 #: Added to every piece's expected count.
 SMOOTHING = 0.05
-MAX_WORD = 32
-#: Words that are held in memory with all their arcs.
-ARC_WORDS = 8_192
+#: Characters of the longest words that are summed as plain products.
+PLAIN_CHARS = 32
+#: Words, and characters of longer words, that are held in memory with all their arcs.
+ARC_WORDS, ARC_CHARS = 8_192, 262_144
 STORE_WORDS = 250_000
 #: Text bytes that one step of a prediction works on.
 PREDICT_BYTES = 3 << 20
@@ -69,6 +71,7 @@ class Pieces:
         self.automaton.make_automaton()
         #: One more stands for a character that is no piece.
         self.count = len(strings) + 1
+        self.longest = max(map(len, strings))
 
     def arcs(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(first position of each word, arcs' starts, ends, pieces), arcs by place in their word, then by end.
@@ -105,34 +108,123 @@ def _sweep(source: np.ndarray, to: np.ndarray, step: np.ndarray, weight: np.ndar
             values[target[begin]] = np.add.reduceat(values[source[a:b]] * weight[a:b], begin, axis=0)
 
 
-def forward(pieces: Pieces, words: list[str], chances: np.ndarray) -> np.ndarray:
+def _add_logs(source: np.ndarray, to: np.ndarray, step: np.ndarray, weight: np.ndarray, values: np.ndarray) -> None:
+    """_sweep on logarithms; what values[to] holds already counts too."""
+    cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(step)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a < b:
+            target = to[a:b]
+            begin = np.concatenate(([0], np.flatnonzero(np.diff(target)) + 1))
+            values[target[begin]] = np.logaddexp(values[target[begin]], np.logaddexp.reduceat(values[source[a:b]] + weight[a:b], begin, axis=0))
+
+
+def batches_of(words: Sequence[str]) -> Iterator[tuple[np.ndarray, str]]:
+    """(rows of words, how they are summed: plain, logs or parts) with bounded arcs each."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    plain = np.flatnonzero(sizes <= PLAIN_CHARS)
+    for k in range(0, len(plain), ARC_WORDS):
+        yield plain[k : k + ARC_WORDS], "plain"
+    long = np.flatnonzero((sizes > PLAIN_CHARS) & (sizes <= ARC_CHARS))
+    long = long[np.argsort(sizes[long], kind="stable")]
+    bins = np.cumsum(sizes[long]) // ARC_CHARS
+    for rows in np.split(long, np.flatnonzero(np.diff(bins)) + 1):
+        if len(rows):
+            yield rows, "logs"
+    for k in np.flatnonzero(sizes > ARC_CHARS):
+        yield np.array([k]), "parts"
+
+
+def _parts(pieces: Pieces, word: str, backwards: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(starts, ends, pieces) of the arcs that end in each part of a word, by end."""
+    text = MARK + word
+    bounds = range(0, len(text), ARC_CHARS)
+    for s in reversed(bounds) if backwards else bounds:
+        e, off = min(len(text), s + ARC_CHARS), max(0, s - pieces.longest)
+        found = [(off + end + 1, k, n) for end, (k, n) in pieces.automaton.iter(text[off:e]) if off + end >= s]
+        table = np.array(found, np.int64).reshape(-1, 3)
+        ends, which, sizes = table.T
+        bare = np.setdiff1d(np.arange(s + 1, e + 1), ends[sizes == 1])
+        starts, ends = np.concatenate((ends - sizes, bare - 1)), np.concatenate((ends, bare))
+        which = np.concatenate((which, np.full(len(bare), pieces.count - 1)))
+        order = np.argsort(ends, kind="stable")
+        yield starts[order], ends[order], which[order]
+
+
+def _forward_parts(pieces: Pieces, word: str, logs: np.ndarray) -> np.ndarray:
+    alpha = np.full((len(word) + 2, logs.shape[1]), -np.inf)
+    alpha[0] = 0
+    for starts, ends, which in _parts(pieces, word):
+        _add_logs(starts, ends, ends, logs[which], alpha)
+    return alpha
+
+
+def forward(pieces: Pieces, words: Sequence[str], chances: np.ndarray) -> np.ndarray:
     """Natural log of each word's probability in each language, over all segmentations."""
-    out = np.zeros((len(words), chances.shape[1]))
-    cut = [(w[j : j + MAX_WORD], k) for k, w in enumerate(words) for j in range(0, len(w), MAX_WORD)]
-    for k in range(0, len(cut), ARC_WORDS):
-        short, owner = zip(*cut[k : k + ARC_WORDS], strict=True)
-        firsts, starts, ends, which = pieces.arcs(short)
-        last = firsts + np.fromiter(map(len, short), np.int64, len(short)) + 1
-        alpha = np.zeros((int(last[-1]) + 1, chances.shape[1]))
-        alpha[firsts] = 1
-        _sweep(starts, ends, pieces.places, chances[which], alpha)
-        np.add.at(out, np.array(owner), np.log(alpha[last]))
+    out, logs = np.zeros((len(words), chances.shape[1])), np.log(chances)
+    for rows, way in batches_of(words):
+        some = [words[k] for k in rows.tolist()]
+        if way == "parts":
+            out[rows] = _forward_parts(pieces, some[0], logs)[-1]
+            continue
+        firsts, starts, ends, which = pieces.arcs(some)
+        last = firsts + np.fromiter(map(len, some), np.int64, len(some)) + 1
+        if way == "plain":
+            alpha = np.zeros((int(last.max()) + 1, chances.shape[1]))
+            alpha[firsts] = 1
+            _sweep(starts, ends, pieces.places, chances[which], alpha)
+            out[rows] = np.log(alpha[last])
+        else:
+            alpha = np.full((int(last.max()) + 1, chances.shape[1]), -np.inf)
+            alpha[firsts] = 0
+            _add_logs(starts, ends, pieces.places, logs[which], alpha)
+            out[rows] = alpha[last]
     return out
 
 
 def fit(pieces: Pieces, words: list[str], counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities (piece x language) from word counts (word x language)."""
     n_langs = counts.shape[1]
-    cut = [(w[j : j + MAX_WORD], k) for k, w in enumerate(words) for j in range(0, len(w), MAX_WORD)]
     chances = np.full((pieces.count, n_langs), 1 / pieces.count)
     for _ in range(rounds):
         sums = np.full((pieces.count, n_langs), SMOOTHING)
-        for k in range(0, len(cut), ARC_WORDS):
-            _expect(pieces, [w for w, _ in cut[k : k + ARC_WORDS]], counts[[i for _, i in cut[k : k + ARC_WORDS]]], chances, sums)
+        for rows, way in batches_of(words):
+            {"plain": _expect, "logs": _expect_logs, "parts": _expect_parts}[way](pieces, [words[k] for k in rows.tolist()], counts[rows], chances, sums)
         chances = sums / sums.sum(axis=0)
     return chances
 
 
+def _expect_logs(pieces: Pieces, words: list[str], counts: np.ndarray, chances: np.ndarray, sums: np.ndarray) -> None:
+    """_expect for words whose products underflow."""
+    firsts, starts, ends, which = pieces.arcs(words)
+    last = firsts + np.fromiter(map(len, words), np.int64, len(words)) + 1
+    word_of = np.searchsorted(firsts, ends - 1, side="right") - 1
+    to_end = last[word_of] - starts
+    back = np.lexsort((starts, to_end))
+    weight = np.log(chances)[which]
+    alpha, beta = (np.full((int(last[-1]) + 1, chances.shape[1]), -np.inf) for _ in range(2))
+    alpha[firsts], beta[last] = 0, 0
+    _add_logs(starts, ends, pieces.places, weight, alpha)
+    _add_logs(ends[back], starts[back], to_end[back], weight[back], beta)
+    expected = np.exp(alpha[starts] + weight + beta[ends] - alpha[last][word_of]) * counts[word_of]
+    for j in range(chances.shape[1]):
+        sums[:, j] += np.bincount(which, expected[:, j], pieces.count)
+
+
+def _expect_parts(pieces: Pieces, words: list[str], counts: np.ndarray, chances: np.ndarray, sums: np.ndarray) -> None:
+    """_expect for one word with the arcs of a part of it at a time, from its end."""
+    logs, word = np.log(chances), words[0]
+    alpha = _forward_parts(pieces, word, logs)
+    beta = np.full_like(alpha, -np.inf)
+    beta[-1] = 0
+    for starts, ends, which in _parts(pieces, word, backwards=True):  # adds to beta before the part too, where more follows
+        back = np.lexsort((ends, -starts))
+        starts, ends, which = starts[back], ends[back], which[back]
+        _add_logs(ends, starts, -starts, logs[which], beta)
+        expected = np.exp(alpha[starts] + logs[which] + beta[ends] - alpha[-1]) * counts
+        for j in range(chances.shape[1]):
+            sums[:, j] += np.bincount(which, expected[:, j], pieces.count)
+
+
 def _expect(pieces: Pieces, words: list[str], counts: np.ndarray, chances: np.ndarray, sums: np.ndarray) -> None:
     """Add to sums how often each piece is expected in words that occur counts times."""
     firsts, starts, ends, which = pieces.arcs(words)

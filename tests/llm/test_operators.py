@@ -307,6 +307,38 @@ def test_langid_sums_all_segmentations():
     assert np.allclose(langid.forward(pieces, [word], chances)[0], np.log(total))
 
 
+def test_langid_sums_whole_long_words(monkeypatch):
+    pieces = langid.Pieces(langid.default_vocabulary())
+    chances = np.random.default_rng(2).random((pieces.count, 2)) / 1000
+    index = dict((k, n) for k, n in pieces.automaton.items())
+    longest = max(map(len, index))
+    words = ["thing", "interpretation" * 6, "https://example.org/under/standing?of=things" * 30, "漢字かな交じり文" * 20, "x" * 32, "internationalisation" * 2, "a"]
+
+    def total(word):
+        text, logs = langid.MARK + word, np.full((len(word) + 2, 2), -np.inf)
+        logs[0] = 0
+        for end in range(1, len(text) + 1):
+            for start in range(max(0, end - longest), end):
+                piece = text[start:end]
+                k = index[piece][0] if piece in index else pieces.count - 1 if len(piece) == 1 else None
+                if k is not None:
+                    logs[end] = np.logaddexp(logs[end], logs[start] + np.log(chances[k]))
+        return logs[-1]
+
+    want = [total(w) for w in words]
+    assert np.allclose(langid.forward(pieces, words, chances), want)
+    short, counts = [w for w in words if len(w) <= 90], np.arange(1.0, 11).reshape(5, 2)
+    plain = np.zeros((pieces.count, 2))
+    langid._expect(pieces, short, counts, chances, plain)
+    for chars in (langid.ARC_CHARS, 50):
+        monkeypatch.setattr(langid, "ARC_CHARS", chars)
+        assert np.allclose(langid.forward(pieces, words, chances), want)
+        got = np.zeros((pieces.count, 2))
+        for rows, way in langid.batches_of(short):
+            {"plain": langid._expect, "logs": langid._expect_logs, "parts": langid._expect_parts}[way](pieces, [short[k] for k in rows], counts[rows], chances, got)
+        assert np.allclose(got, plain)
+
+
 def test_langid_and_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
