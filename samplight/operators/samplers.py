@@ -193,14 +193,44 @@ def dual_predicate(size: str, percent: int, div: str = "DIV") -> str:
     return f"((pos % {fast} = 0 and {f.over('pos', fast)} < {third}) or (pos >= {off} and (pos - {off}) % {slow} = 0))"
 
 
+def quotas(sizes: list[int], target: int) -> list[int]:
+    """Equal shares of the target for strata of some sizes; what a small one lacks goes to the others."""
+    out, left = [0] * len(sizes), target
+    for done, k in enumerate(sorted(range(len(sizes)), key=sizes.__getitem__)):
+        out[k] = min(sizes[k], left // (len(sizes) - done))
+        left -= out[k]
+    return out
+
+
 def stratified_sample(positioned: DataFrame, measure: str, percent: int, strata: int = 4, size: int | None = None) -> DataFrame:
-    """An equal systematic share of each stratum of the measure; strata are cut at approximate quantiles."""
+    """An equal systematic share of each stratum of the measure, T rows in all; everything at 100 % or more, or at none.
+
+    Strata are cut at approximate quantiles. Rows are numbered inside their
+    stratum from counts by partition and stratum, which the driver sees.
+    """
     cuts = positioned.approxQuantile(measure, [k / strata for k in range(1, strata)], 0.001)
     stratum = F.lit(0)
     for c in cuts:
         stratum = stratum + F.when(F.col(measure) > c, 1).otherwise(0)
-    step = max(1, 100 // percent)
-    return positioned.withColumn("stratum", stratum).filter(F.pmod(F.col("pos") * HASH_MULTIPLIER % HASH_MODULUS, F.lit(step)) == 0)
+    marked = positioned.withColumn("stratum", stratum)
+    if percent <= 0 or percent >= 100:
+        return marked
+    ranged = marked.repartitionByRange("pos").sortWithinPartitions("pos").withColumn("__part", F.spark_partition_id()).persist()
+    counts = {(r["__part"], r["stratum"]): r["count"] for r in ranged.groupBy("__part", "stratum").count().collect()}
+    if not counts:
+        return marked
+    starts, sizes = {}, [0] * strata
+    for (part, k), n in sorted(counts.items()):
+        starts[part, k] = sizes[k]
+        sizes[k] += n
+    quota = quotas(sizes, (sum(sizes) if size is None else size) * percent // 100)
+    base = F.create_map(*[F.lit(x) for (part, k), v in starts.items() for x in (part * strata + k, v)])
+    rank = F.row_number().over(Window.partitionBy("__part", "stratum").orderBy("pos"))
+    ranked = ranged.withColumn("__rank", (F.element_at(base, F.col("__part") * strata + F.col("stratum")) + rank - 1).cast("long"))
+    of = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("stratum") + 1)
+    ranked = ranked.withColumn("__n", of(sizes)).withColumn("__quota", of(quota))
+    j = "((__rank * __quota + __n - 1) DIV __n)"
+    return ranked.filter(f"{j} < __quota and ({j} * __n) DIV greatest(1, __quota) = __rank").drop("__part", "__rank", "__n", "__quota")
 
 
 def adaptive_block_sample(positioned: DataFrame, measure: str, percent: int, least: int = 500, most: int = 2000, zones: int = 10, size: int | None = None) -> DataFrame:
