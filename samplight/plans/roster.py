@@ -179,4 +179,4 @@ _add(
     "SELECT count(*) AS total_records, count(*) // 255 + 1 AS node_count, round(count(*) * 32 / 1048576.0, 2) AS size_mb FROM orders",
 )
 _add("example_table", lambda spark, sf_dir: tables.example_table(spark), "SELECT i AS id, i * 1.5::DOUBLE AS value FROM range(1, 11) r(i)")
-_add("sales_generator", lambda spark, sf_dir: tables.sales_table(spark, 1000))
+_add("sales_generator", lambda spark, sf_dir: tables.sales_table(spark))

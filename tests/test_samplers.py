@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from samplight.operators import samplers
+from samplight.plans.roster import QUERIES
 
 
 @pytest.mark.parametrize("percent", [1, 10, 30, 55])
@@ -24,3 +25,7 @@ def test_stratified_shares_what_small_strata_lack(spark):
     table = spark.range(1000).select(F.col("id").alias("pos"), F.when(F.col("id") < 990, 1.0).otherwise(F.col("id")).alias("x"))
     assert samplers.stratified_sample(table, "x", 30).count() == 300
     assert samplers.stratified_sample(table.limit(0), "x", 30).count() == 0
+
+
+def test_sales_query_makes_all_rows(spark):
+    assert QUERIES["sales_generator"](spark, "").count() == 100_000
