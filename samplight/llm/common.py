@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 #: Text bytes that one vectorised step works on; what bounds a worker's memory.
 SLICE_BYTES = 7 << 20
@@ -126,6 +127,24 @@ def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
     return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("__lost_id")) & (text_hash(docs["text"]) == F.col("__lost_hash")), "left_anti")
 
 
+def one_of_each(docs: DataFrame, same: DataFrame) -> DataFrame:
+    """docs with one row only of those that share a group in same (doc_id, text_hash, group); all columns as they were.
+
+    Of a group the row stays that is least over its columns in turn (those that have an order).
+    """
+    same = stage(same.select(F.col("doc_id").alias("__same_id"), F.col("text_hash").alias("__same_hash"), F.col("group").alias("__group")).distinct(), "same")
+    n = same.count()
+    if not n:
+        return docs
+    if n <= BROADCAST_LOST:
+        same = F.broadcast(same)
+    marked = docs.join(same, docs["doc_id"].eqNullSafe(F.col("__same_id")) & (text_hash(docs["text"]) == F.col("__same_hash")), "left")
+    ordered = [F.col(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    least = marked.filter("__group is not null").groupBy("__group").agg(F.min_by(row, F.struct(*ordered)).alias("r"))
+    return marked.filter("__group is null").select(*docs.columns).unionAll(least.select("r.*"))
+
+
 def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 

@@ -9,8 +9,9 @@ texts the smallest doc_id stays.
 Edge cases: an empty table gives an empty result. Rows without a doc_id take
 part; a null doc_id is never chosen over another, and a group of nulls keeps a
 null keep_id with every row kept. Rows that repeat both doc_id and text are the
-same document and get the same decision. Other columns are carried by
-``drop_exact_copies`` untouched, whatever their names.
+same document and get the same decision; ``drop_exact_copies`` leaves one of
+such rows, and one of a group of nulls. It carries other columns untouched,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samplight.llm.common import stage, text_hash, without
+from samplight.llm.common import one_of_each, stage, text_hash, without
 
 #: Characters of the normalised text that the second refinement hashes.
 PREFIX_CHARS = 64
@@ -75,5 +76,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that are not kept; all columns as they were."""
-    return without(docs, exact_dedup(docs).filter("not kept"))
+    """One row of every group of equal texts, of the smallest doc_id; all columns as they were."""
+    shared = stage(exact_dedup(docs).filter("group_size > 1").select("doc_id", "kept", "text_sha256", "text_hash"), "exact-shared")
+    several = shared.filter("kept").groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("text_sha256")
+    same = shared.filter("kept").join(several, "text_sha256").select("doc_id", "text_hash", F.col("text_sha256").alias("group"))
+    return one_of_each(without(docs, shared.filter("not kept")), same)

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplight.llm.common import Words, hash_strings, map_arrow, mix64, ragged_take, stage, text_hash, text_slices, without
+from samplight.llm.common import Words, hash_strings, map_arrow, mix64, one_of_each, ragged_take, stage, text_hash, text_slices, without
 from samplight.llm.graph import components
 
 SHINGLE = 5
@@ -362,6 +362,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
 
 
+#: Ids of rows without one are this many bits of their text's hash, above all others.
+NULL_ID_BITS = 62
+
+
 def keep_representatives(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs with the smallest doc_id of every group only; all columns as they were."""
-    return without(docs, near_duplicates(docs, percent).filter("not kept"))
+    """One row of every group, of the smallest doc_id; all columns as they were.
+
+    Rows without a doc_id take part and stay only where no row of their group has one.
+    """
+    found = docs.agg(F.max("doc_id").alias("top"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
+    own, columns = "__own_id", docs.columns
+    if found["nulls"]:
+        bits = min(NULL_ID_BITS, (2**63 - 1 - max(found["top"] or 0, 0)).bit_length() - 1)
+        surrogate = F.lit(max(found["top"] or 0, 0) + 1) + text_hash(F.col("text")).bitwiseAND(F.lit((1 << max(bits, 0)) - 1))
+        docs = docs.withColumn(own, F.col("doc_id")).withColumn("doc_id", F.coalesce("doc_id", surrogate))
+    decided = stage(near_duplicates(docs, percent).select("doc_id", "component_id", "kept", "text_hash"), "near-decided")
+    same = decided.filter("kept").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    same = same.select("doc_id", "text_hash", F.xxhash64("doc_id", "text_hash").alias("group"))
+    out = one_of_each(without(docs, decided.filter("not kept")), same)
+    return out.withColumn("doc_id", F.col(own)).select(*columns) if found["nulls"] else out

@@ -90,6 +90,19 @@ def test_exact_dedup(docs, rows):
     assert {r["doc_id"] for r in exact_dedup.drop_exact_copies(docs).collect()} == set(keep.values())
 
 
+def test_dedup_leaves_one_row_of_each_group(spark):
+    r = random.Random(8)
+    a, b, c, d = (" ".join(f"w{r.randrange(900)}" for _ in range(120)) for _ in range(4))
+    rows = [(1, a, "y"), (1, a, "x"), (1, a.replace(" ", "  "), "z"), (2, a, "x"), (None, b, "x"), (None, b, "y"), (None, c, "x"), (7, c, "x"), (9, d, "x"), (9, "other", "x"), (None, None, "n"), (None, "", "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = exact_dedup.drop_exact_copies(docs).collect()
+    assert sorted((x["doc_id"] or -1, " ".join((x["text"] or "").split())) for x in got) == sorted([(1, a), (7, c), (9, "other"), (9, d), (-1, ""), (-1, b)])
+    near = spark.createDataFrame([(None, a + " end", "x"), (3, a, "x"), (3, a, "y"), (3, a, "y"), (None, b, "x"), (None, b, "x"), (None, c, "x")], docs.schema)
+    out = minhash.keep_representatives(near, 80).collect()
+    assert sorted((x["doc_id"] or -1, x["text"]) for x in out) == sorted([(3, a), (-1, b), (-1, c)])
+    assert minhash.keep_representatives(near, 80).columns == docs.columns
+
+
 def _library_ids(rows):
     t = library_encoder(default_vocabulary()).tokenizer
     return [e.ids for e in t.encode_batch([r[1] or "" for r in rows], add_special_tokens=False)]
