@@ -1,153 +1,243 @@
 """Sampling methods as predicates on a row's position.
 
-Every method keeps the rows whose 0-based position satisfies a closed form in
-integer arithmetic over the position, the table's size and the target size
-T = size * percent DIV 100. A sample is therefore an ordinary filter: it needs
-no shuffle, runs inside whole-stage code generation, and can be checked in any
-SQL engine. The engines differ in the sign of integer division only, so a
-predicate is made for a given division operator.
+Every method keeps ``percent`` of the rows, from 1 to 99, spread over the whole
+table (but for ``head``, the first rows by name). Its rows are those whose
+0-based position satisfies an expression in integer arithmetic, so that a
+sample is an ordinary filter: it needs no shuffle and runs inside whole-stage
+code generation. Most rest on one law: of n consecutive numbers q from 0,
+``(q * p + o) % 100 >= 100 - p`` holds for (n * p + o) DIV 100 - o DIV 100,
+evenly spread. It needs no table size and can't overflow below 9e16 rows.
+
+Positions are in the column ``__pos``, which with_position() adds. Columns that
+start with two underscores are the library's own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Multiplier and modulus of the portable position hash.
-HASH_MULTIPLIER, HASH_MODULUS = 2654435761, 4294967296
+POS = "__pos"
+SEED = 42
+#: Multipliers of the portable hash; both below 2**31, so that products of 32-bit numbers fit a long.
+HASH_MULTIPLIERS = (1597334677, 1103515245)
+HASH_MODULUS = 2**32
+#: Contiguous parts of a table for ``segments``.
+SEGMENTS = 200
+#: Bins of the hash in which an exact random sample looks for its limit.
+RANDOM_BINS = 65_536
 
 
-class Form:
-    """Text of integer expressions over pos, with the division operator of an engine."""
+def mix(x: int) -> int:
+    """A number below 2**32 from another; the same as mixed() gives in a query."""
+    x %= HASH_MODULUS
+    for m in HASH_MULTIPLIERS:
+        x = ((x ^ (x >> 16)) * m) % HASH_MODULUS
+    return x
 
-    def __init__(self, size: str, percent: int, div: str = "DIV"):
-        self.div, self.size, self.percent = div, size, percent
-        self.target = self.over(f"{size} * {percent}", "100")
-        self.step = f"greatest(1, {self.over(size, f'greatest(1, {self.target})')})"
 
-    def over(self, a: str, b: str) -> str:
-        return f"(({a}) {self.div} ({b}))"
+def mixed(x: str) -> str:
+    x = f"({x}) % {HASH_MODULUS}"
+    for m in HASH_MULTIPLIERS:
+        x = f"((({x}) ^ (({x}) DIV 65536)) * {m}) % {HASH_MODULUS}"
+    return f"({x})"
 
 
-def by_index(f: Form) -> str:
-    """T rows at pos = j * size DIV T."""
-    j = f.over(f"pos * {f.target} + {f.size} - 1", f.size)
-    return f"{j} < {f.target} and {f.over(f'{j} * {f.size}', f'greatest(1, {f.target})')} = pos"
+def even(q: str, percent: int, offset: str | int = 0, base: int = 100) -> str:
+    """percent of base of the numbers q, evenly spread."""
+    return f"(({q}) * {percent} + {offset}) % {base} >= {base - percent}"
 
 
-def by_step(f: Form, step_size: int = 1) -> str:
-    """Every step-th row from the first, T rows at most."""
-    return f"pos % ({f.step} * {step_size}) = 0 and {f.over('pos', f'{f.step} * {step_size}')} < {f.target}"
+def by_index(size: int, p: int) -> str:
+    """T = size * p DIV 100 rows, at j * size DIV T."""
+    target = size * p // 100
+    if not target:
+        return "false"
+    wide = "cast({} as decimal(38, 0))" if size * target >= 2**62 else "{}"
+    j = wide.format(f"(({wide.format(POS)} * {target} + {size - 1}) DIV {size})")
+    return f"{j} < {target} and ({j} * {size}) DIV {target} = {POS}"
 
 
-def by_start(f: Form, start: int = 3) -> str:
-    """Every step-th row from a start inside the first step."""
-    s = f"({start} % {f.step})"
-    return f"pos >= {s} and (pos - {s}) % {f.step} = 0 and {f.over(f'pos - {s}', f.step)} < {f.target}"
+def by_stride(size: int | None, p: int) -> str:
+    """One row in every 100 / p."""
+    return even(POS, p)
 
 
-def by_fraction(f: Form, offset: int = 500) -> str:
-    """Evenly spaced points from offset / 1000 of a step, in exact arithmetic."""
-    def point(q: str) -> str:
-        return f.over(f"({q}) * 10 * {f.percent} - {offset} + 1000", "1000")
+def by_pairs(size: int | None, p: int, step_size: int = 2) -> str:
+    """Runs of step_size rows, one run in every 100 / p."""
+    return even(f"{POS} DIV {step_size}", p)
 
-    return f"{point('pos + 1')} >= 1 and {point('pos + 1')} <= {f.target} and {point('pos + 1')} <> {point('pos')}"
 
+def by_start(size: int | None, p: int, seed: int = SEED) -> str:
+    """One row in every 100 / p, from a start that the seed gives."""
+    return even(POS, p, mix(seed) % 100)
 
-def by_region(f: Form, regions: int = 4) -> str:
-    """The same stride in each of some equal regions."""
-    width = f.over(f.size, str(regions))
-    region = f"least({f.over('pos', f'greatest(1, {width})')}, {regions - 1})"
-    inside = f"(pos - {region} * {width})"
-    return f"{inside} % {f.step} = 0 and {f.over(inside, f.step)} < {f.over(f.target, str(regions))}"
 
+def by_fraction(size: int | None, p: int, seed: int = SEED) -> str:
+    """One row in every 100 / p, from a start in thousandths of a step."""
+    return even(POS, 10 * p, 1000 - (1 + mix(seed) % 999), 1000)
 
-def by_block(f: Form, block: int = 1000) -> str:
+
+def by_region(size: int, p: int, regions: int = 4, seed: int | None = None) -> str:
+    """The same share of some equal regions; with a seed each has its own start."""
+    t = f"(({POS} * {regions}) DIV {size})"
+    return even(f"{POS} - ({t} * {size} + {regions - 1}) DIV {regions}", p, 0 if seed is None else f"{mixed(f'{t} + {seed * regions}')} DIV 1024 % 100")
+
+
+def block_rows(size: int, block: int) -> int:
+    """Rows of one block: a hundredth of the table at most, so that whole blocks can make up any percentage."""
+    return max(1, min(block, size // 100))
+
+
+def by_block(size: int, p: int, block: int = 1000, offset: int = 0) -> str:
     """Whole blocks, evenly spread."""
-    blocks = f.over(f"{f.size} + {block - 1}", str(block))
-    every = f"greatest(1, {f.over(blocks, f'greatest(1, {f.over(f"{blocks} * {f.percent}", "100")})')})"
-    b = f.over("pos", str(block))
-    return f"{b} % {every} = 0 and {f.over(b, every)} * {block} + pos % {block} < {f.target}"
+    return even(f"{POS} DIV {block_rows(size, block)}", p, offset)
+
+
+def by_region_blocks(size: int, p: int, block: int = 1000, regions: int = 4) -> str:
+    """Whole blocks, with another start in each region."""
+    rows = block_rows(size, block)
+    blocks = -(-size // rows)
+    b = f"({POS} DIV {rows})"
+    t = f"(({b} * {regions}) DIV {blocks})"
+    return even(f"{b} - ({t} * {blocks} + {regions - 1}) DIV {regions}", p, f"{t} * {100 // regions}")
+
 
+def by_quota(size: int | None, p: int, leaf: int = 127) -> str:
+    """An evenly spaced quota of every leaf; quotas add up to p percent."""
+    n, i = f"({POS} DIV {leaf})", f"({POS} % {leaf})"
+    quota = f"((({n} + 1) * {leaf * p}) DIV 100 - ({n} * {leaf * p}) DIV 100)"
+    j = f"(({i} * {quota} + {leaf - 1}) DIV {leaf})"
+    return f"{j} < {quota} and ({j} * {leaf}) DIV greatest(1, {quota}) = {i}"
 
-def by_leaf_skip(f: Form, leaf: int = 127, skip: int = 2) -> str:
-    """Every skip-th leaf, of each the first share that fills the target across the whole table."""
-    leaves = f.over("pos", str(leaf))
-    share = f.over(f"{leaf * skip} * {f.percent} + 99", "100")
-    return f"({leaves} + 1) % {skip} = 0 and pos % {leaf} < {share}"
 
+def leaf_percent(p: int) -> int:
+    """Percentage of leaves that a two-stage sample takes: the square root of the whole share."""
+    return math.isqrt(100 * p - 1) + 1
 
-def by_leaf_quota(f: Form, leaf: int = 127) -> str:
-    """An evenly spaced quota of every leaf."""
-    quota = f"greatest(1, {f.over(f'{leaf} * {f.percent}', '100')})"
-    i, j = f"(pos % {leaf})", f.over(f"(pos % {leaf}) * {quota} + {leaf - 1}", str(leaf))
-    return f"{j} < {quota} and {f.over(f'{j} * {leaf}', quota)} = {i}"
 
+def by_two_stage(size: int, p: int, leaf: int = 127) -> str:
+    """Evenly spread leaves, and of each an evenly spread share of rows."""
+    rows, first = block_rows(size, leaf), leaf_percent(p)
+    n = f"({POS} DIV {rows})"
+    within = f"(({n} * {first}) DIV 100) * {rows} + {POS} % {rows}"  # its place among the chosen leaves' rows
+    return f"{even(n, first)} and {even(within, p, 0, first)}"
 
-def by_two_stage(f: Form, leaf: int = 127, rows: int = 10) -> str:
-    """Evenly spaced leaves, and of each some evenly spaced rows; no row twice."""
-    wanted = f"greatest(1, {f.over(f.target, str(rows))})"
-    leaves = f.over(f"{f.size} + {leaf - 1}", str(leaf))
-    every = f"greatest(1, {f.over(leaves, wanted)})"
-    stride = max(1, leaf // rows)
-    return f"{f.over('pos', str(leaf))} % {every} = 0 and (pos % {leaf}) % {stride} = 0 and {f.over(f'pos % {leaf}', str(stride))} < {rows}"
 
+def by_wrap(size: int, p: int, seed: int = SEED) -> str:
+    """One row in every 100 / p from a start anywhere, going on at the table's beginning."""
+    return even(f"({POS} + {size - mix(seed) % size}) % {size}", p) if size else "false"
 
-def by_wrap(f: Form, nth: int = 10, start: int = 313) -> str:
-    """Every nth row from a start, going on at the table's beginning, T rows at most."""
-    first = f.over(f"{f.size} - {start} + {nth - 1}", str(nth))
-    late = f"pos >= {start} and (pos - {start}) % {nth} = 0 and {f.over(f'greatest(0, pos - {start})', str(nth))} < {f.target}"
-    early = f"pos < {start} and pos % {nth} = 0 and {first} + {f.over('pos', str(nth))} < {f.target}"
-    return f"(({late}) or ({early}))"
 
+def by_jitter(size: int | None, p: int, seed: int = SEED) -> str:
+    """p rows of every 100, at a place that a hash gives."""
+    return even(POS, p, f"{mixed(f'{POS} DIV 100 + {seed}')} DIV 1024 % 100")
 
-def by_jitter(f: Form) -> str:
-    """One row of every step, at a hashed place in it."""
-    i = f.over("pos", f.step)
-    return f"{i} < {f.target} and pos = {i} * {f.step} + (({i} * {HASH_MULTIPLIER}) % {HASH_MODULUS}) % {f.step}"
 
+def by_stride_bytes(size: int | None, p: int, stride_bytes: int = 320, row_bytes: int = 32) -> str:
+    """The first rows of every stride of bytes; their numbers add up to p percent."""
+    rows = max(1, stride_bytes // row_bytes)
+    w = f"({POS} DIV {rows})"
+    return f"{POS} % {rows} < (({w} + 1) * {rows * p}) DIV 100 - ({w} * {rows * p}) DIV 100"
 
-def by_stride_bytes(f: Form, stride_bytes: int = 320, row_bytes: int = 32) -> str:
-    """Every row at a multiple of a stride in bytes."""
-    stride = max(1, stride_bytes // row_bytes)
-    return f"pos % {stride} = 0 and {f.over('pos', str(stride))} < {f.target}"
 
+def segment_bounds(size: int, p: int) -> list[tuple[int, int]]:
+    """First and last position of each chosen segment."""
+    chosen = [k for k in range(SEGMENTS) if k * p % 100 >= 100 - p]
+    bounds = [(-(-k * size // SEGMENTS), -(-(k + 1) * size // SEGMENTS) - 1) for k in chosen]
+    return [(a, b) for a, b in bounds if a <= b]
 
-def by_head(f: Form) -> str:
-    """The first T rows: fast, and biased unless the order is random."""
-    return f"pos < {f.target}"
+
+def by_segment(size: int, p: int) -> str:
+    """Contiguous segments as ranges of positions: on a sorted dense key whole row groups are skipped."""
+    return " or ".join(f"({POS} >= {a} and {POS} <= {b})" for a, b in segment_bounds(size, p)) or "false"
+
+
+def by_head(size: int, p: int) -> str:
+    """The first rows: fast, and biased unless the order is random."""
+    return f"{POS} < {size * p // 100}"
+
+
+def _dual(size: int | None, p: int) -> str:
+    """A sparse pass for a third of the sample, and a denser one over the rows that it leaves."""
+    left = f"{POS} - ({POS} * {p}) DIV 300"
+    return f"({even(POS, p, 0, 300)} or {even(left, 2 * p, 0, 300 - p)})"
 
 
 #: Methods by name: predicate and parameters.
 METHODS: dict[str, tuple[Callable[..., str], dict]] = {
-    "index": (by_index, {}), "byte_offset": (by_index, {}), "slow_pointer": (by_step, {}), "fast_pointer": (by_step, {"step_size": 2}),
-    "memory_stride": (by_step, {}), "address_arithmetic": (by_step, {}), "stride_bytes": (by_stride_bytes, {}), "random_start_stride": (by_start, {}),
-    "sequential": (by_fraction, {}), "parallel_pointer": (by_region, {}), "region_stride": (by_region, {"regions": 8}), "block": (by_block, {}),
-    "page": (by_block, {"block": 128}), "parallel_block": (by_block, {"block": 250}), "node_skip": (by_leaf_skip, {}), "balanced": (by_leaf_quota, {}),
-    "direct_access": (by_two_stage, {}), "nth_wrap": (by_wrap, {}), "jittered": (by_jitter, {}), "head": (by_head, {}),
+    "index": (by_index, {}), "byte_offset": (by_index, {}), "slow_pointer": (by_stride, {}), "fast_pointer": (by_pairs, {}), "dual_pointer": (_dual, {}),
+    "memory_stride": (by_stride, {}), "address_arithmetic": (by_stride, {}), "stride_bytes": (by_stride_bytes, {}), "random_start_stride": (by_start, {}),
+    "sequential": (by_fraction, {}), "parallel_pointer": (by_region, {}), "region_stride": (by_region, {"regions": 8, "seed": SEED}), "block": (by_block, {}),
+    "page": (by_block, {"block": 128, "offset": 25}), "parallel_block": (by_region_blocks, {}), "node_skip": (by_block, {"block": 127, "offset": 50}),
+    "balanced": (by_quota, {}), "direct_access": (by_two_stage, {}), "nth_wrap": (by_wrap, {}), "jittered": (by_jitter, {}), "segments": (by_segment, {}), "head": (by_head, {}),
 }
+#: Methods that need no table size.
+SIZELESS = frozenset({"slow_pointer", "fast_pointer", "dual_pointer", "memory_stride", "address_arithmetic", "stride_bytes", "random_start_stride", "sequential", "balanced", "jittered"})
 
 
-def predicate(method: str, size: int | str, percent: int, div: str = "DIV", **params) -> str:
+def predicate(method: str, size: int | None, percent: int, **params) -> str:
     if method not in METHODS:
         raise ValueError(f"unknown sampling method {method!r}; known: {', '.join(sorted(METHODS))}")
+    if not 0 < percent < 100:
+        return "true"
+    if size is None and method not in SIZELESS:
+        raise ValueError(f"{method} needs the table's size")
+    if size == 0:
+        return "false"
     make, defaults = METHODS[method]
-    return make(Form(str(size), percent, div), **(defaults | params))
+    return make(size, percent, **(defaults | params))
 
 
-def with_position(df: DataFrame, key: str | None = None, dense: bool = False) -> DataFrame:
-    """df with a 0-based position pos by key.
+def units(method: str, size: int, percent: int, **params) -> tuple[str, int, Column] | None:
+    """(number of a row's unit, units in all, aggregate that counts the chosen ones) where a method takes units of rows whole."""
+    if method == "segments":
+        return f"({POS} * {SEGMENTS}) DIV {size}", min(SEGMENTS, size), F.lit(len(segment_bounds(size, percent)))
+    if method not in ("block", "page", "parallel_block", "node_skip"):
+        return None
+    rows = block_rows(size, ({"block": 1000} | METHODS[method][1] | params)["block"])
+    first = f"({predicate(method, size, percent, **params)}) and {POS} % {rows} = 0"
+    return f"{POS} DIV {rows}", -(-size // rows), F.count(F.when(F.expr(first), 1))
+
 
-    A dense key is the position itself and costs nothing. Else rows are sorted
-    in range partitions and numbered from partition counts, so that no task
-    sees the whole table; the driver sees one count for each partition.
+def with_position(df: DataFrame, key: str | None = None, dense: bool = False) -> DataFrame:
+    """df with a 0-based position ``__pos``.
+
+    A dense key is the position itself and costs nothing (check_dense() tells).
+    Without a key, a table of Parquet files takes the files' order: each row's
+    place in its file after the rows of the files before, which needs one count
+    for each file and no shuffle. Else rows are sorted in range partitions by the
+    key (or all columns) and numbered from partition counts, so that no task
+    sees the whole table.
     """
     if dense:
-        return df.withColumn("pos", F.col(key).cast("long"))
-    order = [key] if key else df.columns
+        return df.withColumn(POS, F.col(key).cast("long"))
+    if key is None:
+        numbered = _by_file(df)
+        if numbered is not None:
+            return numbered
+    return _by_order(df, [key] if key else df.columns)
+
+
+def _by_file(df: DataFrame) -> DataFrame | None:
+    try:
+        rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:  # no table of files
+        return None
+    starts, total = [], 0
+    for r in sorted(rows.groupBy("__file").agg(F.count(F.lit(1)).alias("n")).collect()):
+        starts.append((r["__file"], total))
+        total += r["n"]
+    before = df.sparkSession.createDataFrame(starts, "__file string, __before long")
+    return rows.join(before, "__file").withColumn(POS, F.col("__before") + F.col("__row")).drop("__file", "__row", "__before")
+
+
+def _by_order(df: DataFrame, order: list[str]) -> DataFrame:
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).persist()
     counts = sorted(ranged.groupBy("__part").count().collect())
     starts, total = {}, 0
@@ -155,42 +245,54 @@ def with_position(df: DataFrame, key: str | None = None, dense: bool = False) ->
         starts[part] = total
         total += n
     if not starts:
-        return df.withColumn("pos", F.lit(0).cast("long"))
+        return df.withColumn(POS, F.lit(0).cast("long"))
     base = F.create_map(*[F.lit(x) for k, v in starts.items() for x in (k, v)])
     rank = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return ranged.withColumn("pos", (F.element_at(base, F.col("__part")) + rank - 1).cast("long")).drop("__part")
+    return ranged.withColumn(POS, (F.element_at(base, F.col("__part")) + rank - 1).cast("long")).drop("__part")
+
+
+def density() -> list[Column]:
+    """Aggregates that tell whether positions are 0 to n - 1 (for distinct ones)."""
+    return [F.count(F.lit(1)).alias("__size"), F.min(POS).alias("__least"), F.max(POS).alias("__most")]
+
+
+NOT_DENSE = "the key isn't dense from 0; leave it out to have the rows numbered"
+
+
+def dense_size(positioned: DataFrame) -> int:
+    """Rows of a table whose positions are 0 to n - 1; ValueError if they aren't."""
+    r = positioned.agg(*density()).first()
+    if r["__size"] and (r["__least"], r["__most"]) != (0, r["__size"] - 1):
+        raise ValueError(NOT_DENSE)
+    return r["__size"]
 
 
 def sample(positioned: DataFrame, method: str, percent: int, size: int | None = None, **params) -> DataFrame:
     """The sampled rows of a table with positions; everything at 100 % or more, or at none."""
     if percent <= 0 or percent >= 100:
         return positioned
-    size = positioned.count() if size is None else size
-    return positioned.filter(predicate(method, size, percent, **params)) if size else positioned
-
+    if size is None and method not in SIZELESS:
+        size = dense_size(positioned)
+    return positioned.filter(predicate(method, size, percent, **params))
 
-def random_sample(positioned: DataFrame, percent: int, size: int | None = None) -> DataFrame:
-    """Exactly T rows, those with the smallest hash of their position (a top-k, not a full sort)."""
-    size = positioned.count() if size is None else size
-    return positioned.orderBy((F.col("pos") * HASH_MULTIPLIER) % HASH_MODULUS, "pos").limit(size * percent // 100)
 
+def random_sample(positioned: DataFrame, percent: int, size: int | None = None, seed: int = SEED) -> DataFrame:
+    """Exactly size * percent DIV 100 rows: those with the smallest hash of position and seed.
 
-def dual_pointer_sample(positioned: DataFrame, percent: int, size: int | None = None) -> DataFrame:
-    """A sparse and a denser systematic pass, put together without repeating a row."""
-    size = positioned.count() if size is None else size
-    target = size * percent // 100
-    if target < 3:
-        return sample(positioned, "slow_pointer", percent, size)
-    return positioned.filter(dual_predicate(str(size), percent))
-
-
-def dual_predicate(size: str, percent: int, div: str = "DIV") -> str:
-    f = Form(size, percent, div)
-    third = f"greatest(1, {f.over(f.target, '3')})"
-    fast = f"(3 * greatest(1, {f.over(size, third)}))"
-    slow = f"greatest(1, {f.over(size, f'greatest(1, {f.target} - {third})')})"
-    off = f.over(fast, "2")
-    return f"((pos % {fast} = 0 and {f.over('pos', fast)} < {third}) or (pos >= {off} and (pos - {off}) % {slow} = 0))"
+    The hash's RANDOM_BINS bins are counted; rows of the bins before the one in
+    which the limit lies are kept by a filter, only that bin's rows are ranked.
+    """
+    size = dense_size(positioned) if size is None else size
+    target = size * min(max(percent, 0), 100) // 100
+    hashed = positioned.withColumn("__hash", F.expr(mixed(f"{POS} + {mix(seed)}"))).withColumn("__bin", F.expr(f"__hash DIV {HASH_MODULUS // RANDOM_BINS}"))
+    bins = hashed.groupBy("__bin").agg(F.count(F.lit(1)).alias("n"))
+    running = bins.withColumn("upto", F.sum("n").over(Window.orderBy("__bin")))  # RANDOM_BINS rows at most
+    limit = running.filter(F.col("upto") >= target).orderBy("__bin").limit(1).select(F.col("__bin").alias("__last"), (target - F.col("upto") + F.col("n")).alias("__left"))
+    marked = hashed.crossJoin(F.broadcast(limit))  # one row
+    below = marked.filter("__bin < __last")
+    rank = F.row_number().over(Window.partitionBy("__bin").orderBy("__hash", POS))
+    at = marked.filter("__bin = __last").withColumn("__rank", rank).filter("__rank <= __left").drop("__rank")
+    return below.unionAll(at).drop("__hash", "__bin", "__last", "__left")
 
 
 def quotas(sizes: list[int], target: int) -> list[int]:
@@ -202,32 +304,47 @@ def quotas(sizes: list[int], target: int) -> list[int]:
     return out
 
 
-def stratified_sample(positioned: DataFrame, measure: str, percent: int, strata: int = 4, size: int | None = None) -> DataFrame:
-    """An equal systematic share of each stratum of the measure, T rows in all; everything at 100 % or more, or at none.
+def strata_cuts(positioned: DataFrame, measure: str, strata: int, size: int) -> list[tuple]:
+    """(measure, position) of the first row of each stratum but the first, of equal numbers of rows, by measure."""
+    ranked = _by_order(positioned.select(F.col(measure).alias("__measure"), F.col(POS).alias("__of")), ["__measure", "__of"])
+    firsts = sorted({size * k // strata for k in range(1, strata)} - {0})
+    found = sorted((r[POS], r["__measure"], r["__of"]) for r in ranked.filter(F.col(POS).isin(firsts)).collect())
+    return [(m, at) for _, m, at in found]
+
 
-    Strata are cut at approximate quantiles. Rows are numbered inside their
-    stratum from counts by partition and stratum, which the driver sees.
+def stratified_sample(positioned: DataFrame, measure: str, percent: int, strata: int = 4, size: int | None = None, label: str = "stratum") -> DataFrame:
+    """An equal systematic share of each stratum of the measure, size * percent DIV 100 rows in all.
+
+    Strata hold equal numbers of rows by rank of the measure (nulls first, ties
+    by position); their number goes to the column ``label``. Rows are numbered
+    inside their stratum from counts by partition and stratum, which the driver
+    sees. Everything at 100 % or more, or at none.
     """
-    cuts = positioned.approxQuantile(measure, [k / strata for k in range(1, strata)], 0.001)
+    if label in positioned.columns:
+        raise ValueError(f"the table has a column {label!r}; choose another label")
+    size = dense_size(positioned) if size is None else size
     stratum = F.lit(0)
-    for c in cuts:
-        stratum = stratum + F.when(F.col(measure) > c, 1).otherwise(0)
-    marked = positioned.withColumn("stratum", stratum)
+    for m, at in strata_cuts(positioned, measure, strata, size):
+        value = F.col(measure)
+        after = value.isNotNull() if m is None else value > m
+        same = value.isNull() if m is None else value == m
+        stratum = stratum + F.when(after | (same & (F.col(POS) >= at)), 1).otherwise(0)
+    marked = positioned.withColumn(label, stratum)
     if percent <= 0 or percent >= 100:
         return marked
-    ranged = marked.repartitionByRange("pos").sortWithinPartitions("pos").withColumn("__part", F.spark_partition_id()).persist()
-    counts = {(r["__part"], r["stratum"]): r["count"] for r in ranged.groupBy("__part", "stratum").count().collect()}
+    ranged = marked.repartitionByRange(POS).sortWithinPartitions(POS).withColumn("__part", F.spark_partition_id()).persist()
+    counts = {(r["__part"], r[label]): r["count"] for r in ranged.groupBy("__part", label).count().collect()}
     if not counts:
         return marked
     starts, sizes = {}, [0] * strata
     for (part, k), n in sorted(counts.items()):
         starts[part, k] = sizes[k]
         sizes[k] += n
-    quota = quotas(sizes, (sum(sizes) if size is None else size) * percent // 100)
+    quota = quotas(sizes, size * percent // 100)
     base = F.create_map(*[F.lit(x) for (part, k), v in starts.items() for x in (part * strata + k, v)])
-    rank = F.row_number().over(Window.partitionBy("__part", "stratum").orderBy("pos"))
-    ranked = ranged.withColumn("__rank", (F.element_at(base, F.col("__part") * strata + F.col("stratum")) + rank - 1).cast("long"))
-    of = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("stratum") + 1)
+    rank = F.row_number().over(Window.partitionBy("__part", label).orderBy(POS))
+    ranked = ranged.withColumn("__rank", (F.element_at(base, F.col("__part") * strata + F.col(label)) + rank - 1).cast("long"))
+    of = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col(label) + 1)
     ranked = ranked.withColumn("__n", of(sizes)).withColumn("__quota", of(quota))
     j = "((__rank * __quota + __n - 1) DIV __n)"
     return ranked.filter(f"{j} < __quota and ({j} * __n) DIV greatest(1, __quota) = __rank").drop("__part", "__rank", "__n", "__quota")
@@ -235,17 +352,22 @@ def stratified_sample(positioned: DataFrame, measure: str, percent: int, strata:
 
 def adaptive_block_sample(positioned: DataFrame, measure: str, percent: int, least: int = 500, most: int = 2000, zones: int = 10, size: int | None = None) -> DataFrame:
     """The same share of every block; blocks are smaller in zones where the measure varies more."""
-    size = positioned.count() if size is None else size
+    size = dense_size(positioned) if size is None else size
     width = max(1, size // zones)
-    zoned = positioned.withColumn("zone", F.least(F.expr(f"pos DIV {width}"), F.lit(zones - 1)))
-    spread = zoned.groupBy("zone").agg(F.var_pop(measure).alias("v"))
-    top = F.max("v").over(Window.partitionBy())  # one row for each zone
-    block = F.when(top > 0, F.lit(least) + F.floor((most - least) * (1 - F.col("v") / top))).otherwise(least)
-    chosen = zoned.join(F.broadcast(spread.select("zone", block.cast("long").alias("width"))), "zone")
-    return chosen.filter(f"(pos - zone * {width}) % width < greatest(1, width * {percent} DIV 100)").drop("zone", "width")
+    zoned = positioned.withColumn("__zone", F.least(F.expr(f"{POS} DIV {width}"), F.lit(zones - 1)))
+    spread = zoned.groupBy("__zone").agg(F.var_pop(measure).alias("__v"))
+    top = F.max("__v").over(Window.partitionBy())  # one row for each zone
+    block = F.when(top > 0, F.lit(least) + F.floor((most - least) * (1 - F.col("__v") / top))).otherwise(least)
+    chosen = zoned.join(F.broadcast(spread.select("__zone", block.cast("long").alias("__width"))), "__zone")
+    return chosen.filter(f"({POS} - __zone * {width}) % __width < greatest(1, __width * {percent} DIV 100)").drop("__zone", "__width")
 
 
 def gather(positioned: DataFrame, positions: list[int]) -> DataFrame:
     """The rows at some positions, each once."""
-    wanted = positioned.sparkSession.createDataFrame([(int(p),) for p in positions], "pos long")
-    return positioned.join(wanted, "pos", "left_semi")
+    wanted = positioned.sparkSession.createDataFrame([(int(p),) for p in positions], f"{POS} long")
+    return positioned.join(wanted, POS, "left_semi")
+
+
+def round_robin(df: DataFrame, parts: int) -> DataFrame:
+    """df dealt out row by row over some partitions."""
+    return df.repartition(parts)

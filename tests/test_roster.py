@@ -12,7 +12,7 @@ DIR = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for name in ("orders", "events", "lineitem"):
+    for name in ("orders", "events", "lineitem", "customer"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{DIR}/{name}.parquet'")
     return con
 
