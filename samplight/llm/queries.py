@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from samplight.llm import bpe, exact_dedup, langid, minhash, packing, quality, running, sharding, token_files, toxicity
+from samplight.llm import bpe, exact_dedup, langid, minhash, packing, ppm, quality, sharding, token_files, toxicity
 from samplight.llm.common import documents
 
 
@@ -31,7 +31,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return running.score(documents(spark, sf_dir))
+    return ppm.score(documents(spark, sf_dir))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from samplight.llm import bpe, exact_dedup, langid, lm, minhash, packing, quality, running, sharding, token_files, toxicity
+from samplight.llm import bpe, exact_dedup, langid, minhash, packing, ppm, quality, sharding, token_files, toxicity
 from samplight.llm.tokens import default_vocabulary, library_encoder
 
 WORDS = re.compile(r"[^\x20\x09-\x0d]+")
@@ -157,68 +157,16 @@ def test_bpe_digests(docs, rows):
     assert sorted(map(tuple, bpe.encode_and_decode(docs).collect())) == want
 
 
-@pytest.mark.parametrize("chunk", [100_000, 7])
-def test_lm_score(docs, rows, monkeypatch, chunk):
-    monkeypatch.setattr(lm, "CHUNK_WORDS", chunk)
-    deep = lm.DEPTH
+@pytest.mark.parametrize(("block", "group", "merge"), [(ppm.BLOCK_BYTES, ppm.GROUP_BLOCKS, ppm.MERGE), (20_000, 3, 1000)])
+def test_lm_score(docs, rows, empty, monkeypatch, block, group, merge):
+    for name, value in (("BLOCK_BYTES", block), ("GROUP_BLOCKS", group), ("MERGE", merge)):
+        monkeypatch.setattr(ppm, name, value)
+    order = ppm.ORDER
     tokens = [[*WORDS.findall(_lower(t)), "\n"] for _, t, *_ in rows]
+    texts = [b"\n" * order + b"".join(w.encode() + b" " for w in t[:-1]) + b"\n" for t in tokens]
     held = [zlib.crc32(str(r[0]).encode()) % 5 == 1 for r in rows]
-    counts = Counter(x for t, h in zip(tokens, held, strict=True) if not h for x in t)
-    n, v = sum(counts.values()), len(counts)
-    short: dict[bytes, Counter] = {}
-    whole: dict[bytes, Counter] = {}
-    for w, c in counts.items():
-        own = w.encode() + b" " if w != "\n" else b"\n"
-        s = b"  " + own
-        for k in range(2, len(s)):
-            for order in range(3):
-                short.setdefault(s[k - order : k], Counter())[s[k]] += c
-        for k in range(2, min(len(own), deep + 1)):
-            whole.setdefault(own[:k], Counter())[own[k]] += c
-
-    def low(context: bytes) -> list[float]:
-        out, left, excluded = [0.0] * 256, 1.0, set()
-        for order in (2, 1, 0):
-            here = {s: c for s, c in short.get(context[2 - order :], Counter()).items() if s not in excluded}
-            if here:
-                total, distinct = sum(here.values()), len(here)
-                for s, c in here.items():
-                    out[s] = left * c / (total + distinct)
-                left *= distinct / (total + distinct)
-                excluded |= set(here)
-        return [left / (256 - len(excluded)) if s not in excluded else x for s, x in enumerate(out)]
-
-    lows: dict[bytes, list[float]] = {}
-
-    def chances(own: bytes, k: int) -> list[float]:
-        """Of all symbols at byte k of a word with its space."""
-        context = (b"  " + own)[k : k + 2]
-        if context not in lows:
-            lows[context] = low(context)
-        here = whole.get(own[:k]) if 2 <= k <= deep else None
-        if not here:
-            return lows[context]
-        total, distinct = sum(here.values()), len(here)
-        rest = 1 - sum(lows[context][s] for s in here)
-        return [here[s] / (total + distinct) if s in here else distinct / (total + distinct) * x / rest for s, x in enumerate(lows[context])]
-
-    memory: dict[str, float] = {}
-    for got in lm.score(docs).collect():
-        t = tokens[next(k for k, r in enumerate(rows) if r[0] == got["doc_id"])]
-        for w in set(t) - set(memory):
-            own = w.encode() + b" " if w != "\n" else b"\n"
-            each = [chances(own, k) for k in range(len(own))]
-            assert all(sum(x) == pytest.approx(1) for x in each)
-            memory[w] = sum(math.log10(x[s]) for x, s in zip(each, own, strict=True))
-        assert (got["n_tokens"], got["n_known"], got["train_tokens"]) == (len(t), sum(counts[w] > 0 for w in t), n)
-        assert got["base_score"] == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))
-        assert got["score"] == pytest.approx(sum(memory[w] for w in t), rel=1e-4)
-
-
-def test_running_score(docs, rows, empty, spark):
-    order = running.ORDER
-    texts = [b"\n" * order + b"".join(w.encode() + b" " for w in WORDS.findall(_lower(t))) + b"\n" for _, t, *_ in rows]
-    held = [zlib.crc32(str(r[0]).encode()) % 5 == 1 for r in rows]
+    words = Counter(x for t, h in zip(tokens, held, strict=True) if not h for x in t)
+    n, v = sum(words.values()), len(words)
     counts: dict[bytes, Counter] = {}
     for s, h in zip(texts, held, strict=True):
         for k in range(order, len(s) if not h else 0):
@@ -238,14 +186,23 @@ def test_running_score(docs, rows, empty, spark):
             memory[context] = low
         return memory[context]
 
-    words = {r["doc_id"]: r for r in lm.score(docs).collect()}
-    got = running.score(docs).collect()
+    got = ppm.score(docs).collect()
     assert len(got) == len(rows)
     for r in got:
-        s = texts[next(k for k, x in enumerate(rows) if x[0] == r["doc_id"])]
-        assert r["score"] == pytest.approx(sum(math.log10(chances(s[k - order : k])[s[k]]) for k in range(order, len(s))), rel=1e-4)
-        assert r[:5] == words[r["doc_id"]][:5] and r["base_score"] == pytest.approx(words[r["doc_id"]]["base_score"])
-    assert running.score(empty).collect() == []
+        k = next(k for k, x in enumerate(rows) if x[0] == r["doc_id"])
+        s, t = texts[k], tokens[k]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[k], len(t), sum(words[w] > 0 for w in t), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((words[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))
+        assert r["score"] == pytest.approx(sum(math.log10(chances(s[j - order : j])[s[j]]) for j in range(order, len(s))), rel=1e-4)
+    assert ppm.score(empty).collect() == []
+
+
+def test_lm_score_without_training(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
+    docs = spark.createDataFrame([(i, t) for i, t in zip(ids, ("a b", None, "x"), strict=True)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in ppm.score(docs).collect()}
+    assert [got[i]["score"] for i in ids] == pytest.approx([math.log10(1 / 256) * k for k in (5, 1, 3)], rel=1e-5)
+    assert {r["train_tokens"] for r in got.values()} == {0}
 
 
 def test_op6_scores_texts_by_the_order_of_their_words(spark, tmp_path):
@@ -376,7 +333,7 @@ def test_langid_fits_on_all_words_of_its_sample(spark, monkeypatch):
 def test_empty_tables(empty, spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     for run in (
-        lambda d: minhash.near_duplicates(d), exact_dedup.exact_dedup, token_files.token_table, packing.pack, bpe.encode_and_decode, lm.score,
+        lambda d: minhash.near_duplicates(d), exact_dedup.exact_dedup, token_files.token_table, packing.pack, bpe.encode_and_decode, ppm.score,
         quality.quality, sharding.shard_by_bytes, lambda d: langid.identify(d, langid.train(d)), lambda d: toxicity.grade(d, toxicity.train(d, labels)),
     ):
         assert run(empty).collect() == []
