@@ -21,8 +21,9 @@ whatever the input) are broadcast.
    groups of blocks; each part gets a logarithm a gram and goes back to its block.
 3. The block's grams are looked up among its distinct ones and summed by text.
 
-Word counts for the base score have no bound, so they stay on the executors too:
-the blocks' dictionaries meet the counts by word and go back to their block.
+Words, for the base score, go the same way, in buckets of their own by a hash of
+the word: a part is a list of distinct words with their counts, and gets the
+whole corpus's counts back. Nothing but their sums goes to the driver.
 
 Edge cases: null and empty texts are one end; a null doc_id is never held out;
 rows that repeat a document are scored, and learnt from, each; without training
@@ -42,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplight.llm.common import Words, map_arrow, mix64, ragged_take, ship, stage, text_slices
+from samplight.llm.common import Words, hash_strings, map_arrow, mix64, ragged_take, ship, stage, text_slices
 
 #: Bytes of the longest context; 6 at most, as a gram with a mark is a long.
 ORDER = 5
@@ -50,7 +51,7 @@ ORDER = 5
 NEAR = 3
 #: Text bytes of one block, about.
 BLOCK_BYTES = 8 << 20
-#: Buckets at least and at most; between them as many as there are blocks.
+#: Buckets of grams, and as many of words, at least and at most; between them as many as there are blocks.
 BUCKETS = (64, 4_096)
 #: Blocks whose parts of a bucket one task takes.
 GROUP_BLOCKS = 64
@@ -110,21 +111,52 @@ def expand_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(expand(data, np.int64))
 
 
+def squeeze_words(words: pa.Array) -> bytes:
+    """Words in few bytes; they have no line feeds."""
+    raw = "\n".join(words.to_pylist()).encode()
+    return struct.pack("<Q", len(raw)) + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def expand_words(data: bytes) -> pa.Array:
+    raw = pa.Codec("zstd").decompress(data[8:], struct.unpack_from("<Q", data)[0], asbytes=True)
+    ends = np.flatnonzero(np.frombuffer(raw + b"\n", np.uint8) == END)
+    sizes = np.diff(ends, prepend=-1) - 1
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(raw.replace(b"\n", b""))).cast(pa.string())
+
+
 _ROWS = pa.schema([
     ("block", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()),
-    ("words", pa.list_(pa.string())), ("codes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
-    ("bucket", pa.int32()), ("grams", pa.binary()), ("times", pa.binary()),
+    ("bucket", pa.int32()), ("keys", pa.binary()), ("times", pa.binary()),
 ])
-ROWS = "block long, row long, doc_id long, held_out boolean, text string, words array<string>, codes array<long>, counts array<long>, bucket int, grams binary, times binary"
+ROWS = "block long, row long, doc_id long, held_out boolean, text string, bucket int, keys binary, times binary"
 
 
 def _batch(n: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in _ROWS], schema=_ROWS)
 
 
+def _parts(buckets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(order by bucket, (bucket, first, last and one) of each in it)."""
+    place = np.argsort(buckets, kind="stable")
+    ranked = buckets[place]
+    cuts = [0, *(np.flatnonzero(np.diff(ranked)) + 1).tolist(), len(ranked)]
+    return place, [(int(ranked[a]), a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+
+
+def word_bucket(words: pa.Array, buckets: int) -> np.ndarray:
+    """Buckets of words come after those of grams."""
+    return (hash_strings(words) % np.uint64(buckets)).astype(np.int64) + buckets
+
+
+def _used(words: Words) -> np.ndarray:
+    """The distinct words that occur."""
+    return np.flatnonzero(np.bincount(words.codes, minlength=len(words.uniq)))
+
+
 def _blocks(order: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each block a row a document, one with its words, and one a bucket with its grams."""
+        """For each block a row a document, and one a bucket with its grams or words."""
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows in text_slices(batch, limit=BLOCK_BYTES):
@@ -133,27 +165,29 @@ def _blocks(order: int, buckets: int):
                 yield _batch(n, block=pa.array(np.full(n, block)), row=pa.array(np.arange(n)), doc_id=rows.column("doc_id"), held_out=rows.column("held_out"), text=rows.column("text"))
                 words = Words(rows.column("text"), lower=True)
                 train = ~np.asarray(rows.column("held_out"))
-                counts = np.bincount(words.codes[np.repeat(train, np.diff(words.offsets))], minlength=len(words.uniq))
-                used = np.flatnonzero(np.bincount(words.codes, minlength=len(words.uniq)))
-                lists = [words.uniq.take(pa.array(used)), pa.array(used), pa.array(counts[used])]
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
-                yield _batch(1, block=pa.array([block]), words=lists[0], codes=lists[1], counts=lists[2])
-                del lists, counts, used
+                out = []
+                used = _used(words)
+                if len(used):
+                    counts = np.bincount(words.codes[np.repeat(train, np.diff(words.offsets))], minlength=len(words.uniq))[used]
+                    own = words.uniq.take(pa.array(used))
+                    place, cuts = _parts(word_bucket(own, buckets))
+                    own, counts = own.take(pa.array(place)), counts[place]
+                    out += [(k, squeeze_words(own.slice(a, b - a)), squeeze(counts[a:b])) for k, a, b in cuts]
+                    del own, counts
                 marked, firsts = grams_of(words, order)
+                del words
                 marked <<= 1
                 marked |= np.repeat(train, np.diff(firsts))
                 marked.sort()
                 begins = np.flatnonzero(np.concatenate(([True], marked[1:] >> 1 != marked[:-1] >> 1)))
                 grams = marked[begins] >> 1
                 times = np.add.reduceat(marked & 1, begins)
-                del marked, begins, words
-                bucket = bucket_of(grams, order, buckets)
-                place = np.argsort(bucket, kind="stable")
-                grams, times, bucket = grams[place], times[place], bucket[place]
-                cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-                parts = [(bucket[a], squeeze_sorted(grams[a:b]), squeeze(times[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
-                which, packed, often = zip(*parts, strict=True)
-                yield _batch(len(parts), block=pa.array(np.full(len(parts), block)), bucket=pa.array(which, pa.int32()), grams=pa.array(packed, pa.binary()), times=pa.array(often, pa.binary()))
+                del marked, begins
+                place, cuts = _parts(bucket_of(grams, order, buckets))
+                grams, times = grams[place], times[place]
+                out += [(k, squeeze_sorted(grams[a:b]), squeeze(times[a:b])) for k, a, b in cuts]
+                which, packed, often = zip(*out, strict=True)
+                yield _batch(len(out), block=pa.array(np.full(len(out), block)), bucket=pa.array(which, pa.int32()), keys=pa.array(packed, pa.binary()), times=pa.array(often, pa.binary()))
 
     return run
 
@@ -167,30 +201,41 @@ def _sum_equal(grams: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.nda
     return all_grams[begins], np.add.reduceat(all_times, begins) if len(begins) else all_times
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a bucket (and group) with the learnt grams and their times, from rows sorted by both."""
-    key, grams, times, held = None, [], [], 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if key is not None:
-            g, t = _sum_equal(grams, times)
-            if len(g):
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([key[0]], pa.int32()), "grams": pa.array([squeeze_sorted(g)], pa.binary()), "times": pa.array([squeeze(t)], pa.binary())})
-
-    for batch in batches:
-        for bucket, group, g, t in zip(*(batch.column(c) for c in ("bucket", "group", "grams", "times")), strict=True):
-            if (bucket.as_py(), group.as_py()) != key:
-                yield from flush()
-                key, grams, times, held = (bucket.as_py(), group.as_py()), [], [], 0
-            g, t = expand_sorted(g.as_py()), expand(t.as_py(), np.int64)
-            learnt = t > 0
-            grams.append(g[learnt])
-            times.append(t[learnt])
-            held += len(grams[-1])
-            if held > MERGE and len(grams) > 1:
-                g, t = _sum_equal(grams, times)
-                grams, times, held = [g], [t], 0
-    yield from flush()
+def _sum_equal_words(words: list[pa.Array], times: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    encoded = pa.concat_arrays(words).dictionary_encode()
+    return encoded.dictionary, np.bincount(np.asarray(encoded.indices), np.concatenate(times), len(encoded.dictionary)).astype(np.int64)
+
+
+def _merge(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row a bucket (and group) with what was learnt, from rows sorted by both."""
+        key, keys, times, held = None, [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if keys:
+                k, t = (_sum_equal_words if key[0] >= buckets else _sum_equal)(keys, times)
+                if len(k):
+                    packed = squeeze_words(k) if key[0] >= buckets else squeeze_sorted(k)
+                    row = {"bucket": pa.array([key[0]], pa.int32()), "keys": pa.array([packed], pa.binary()), "times": pa.array([squeeze(t)], pa.binary()), "distinct": [len(k)], "total": [int(t.sum())]}
+                    yield pa.RecordBatch.from_pydict(row)
+
+        for batch in batches:
+            for bucket, group, k, t in zip(*(batch.column(c) for c in ("bucket", "group", "keys", "times")), strict=True):
+                if (bucket.as_py(), group.as_py()) != key:
+                    yield from flush()
+                    key, keys, times, held = (bucket.as_py(), group.as_py()), [], [], 0
+                t = expand(t.as_py(), np.int64)
+                learnt = t > 0
+                k = expand_words(k.as_py()).filter(pa.array(learnt)) if key[0] >= buckets else expand_sorted(k.as_py())[learnt]
+                keys.append(k)
+                times.append(t[learnt])
+                held += len(k)
+                if held > MERGE and len(keys) > 1:
+                    k, t = (_sum_equal_words if key[0] >= buckets else _sum_equal)(keys, times)
+                    keys, times, held = [k], [t], 0
+        yield from flush()
+
+    return run
 
 
 def shorten(grams: np.ndarray, order: int, to: int) -> np.ndarray:
@@ -237,43 +282,55 @@ class Levels:
 def _low_counts(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for g, t in zip(batch.column("grams"), batch.column("times"), strict=True):
+            for g, t in zip(batch.column("keys"), batch.column("times"), strict=True):
                 short, of = np.unique(shorten(expand_sorted(g.as_py()), order, NEAR - 1), return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(short), pa.array(np.bincount(of, expand(t.as_py(), np.int64)).astype(np.int64))], names=["gram", "n"])
 
     return run
 
 
-def _score_parts(low, order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _score_parts(low, order: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Logarithms of a part's grams; the merged bucket (no block) comes before the parts."""
-        key, levels, nothing = None, None, np.zeros(0, np.int64)
+        """Logarithms of a part's grams, or counts of its words; what was learnt (no block) comes before the parts."""
+        key, learnt = None, None
+
+        def model(keys: bytes | None, times: bytes | None):
+            counts = np.zeros(0, np.int64) if times is None else expand(times, np.int64)
+            if key[0] >= buckets:
+                return (pa.array([], pa.string()) if keys is None else expand_words(keys)), counts
+            return Levels(low.value).build(np.zeros(0, np.int64) if keys is None else expand_sorted(keys), counts, order)
+
         for batch in batches:
-            blocks, logs = [], []
-            for bucket, group, block, g, t in zip(*(batch.column(c) for c in ("bucket", "group", "block", "grams", "times")), strict=True):
+            of, which, values = [], [], []
+            for bucket, group, block, k, t in zip(*(batch.column(c) for c in ("bucket", "group", "block", "keys", "times")), strict=True):
                 if (bucket.as_py(), group.as_py()) != key:
-                    key, levels = (bucket.as_py(), group.as_py()), None
+                    key, learnt = (bucket.as_py(), group.as_py()), None
                 if not block.is_valid:
-                    levels = Levels(low.value).build(expand_sorted(g.as_py()), expand(t.as_py(), np.int64), order)
+                    learnt = model(k.as_py(), t.as_py())
                     continue
-                if levels is None:  # nothing of this bucket was learnt
-                    levels = Levels(low.value).build(nothing, nothing, order)
-                blocks.append((block.as_py(), key[0]))
-                logs.append(squeeze(np.log10(levels.chance(expand_sorted(g.as_py()), order)).astype(np.float32)))
-            if blocks:
-                of, which = zip(*blocks, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(which, pa.int32()), pa.array(logs, pa.binary())], names=["of", "bucket", "logs"])
+                if learnt is None:  # nothing of this bucket was learnt
+                    learnt = model(None, None)
+                if key[0] >= buckets:
+                    at = pc.fill_null(pc.index_in(expand_words(k.as_py()), learnt[0]), len(learnt[1]))
+                    value = np.append(learnt[1], 0)[np.asarray(at)]
+                else:
+                    value = np.log10(learnt.chance(expand_sorted(k.as_py()), order)).astype(np.float32)
+                of.append(block.as_py())
+                which.append(key[0])
+                values.append(squeeze(value))
+            if of:
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(which, pa.int32()), pa.array(values, pa.binary())], names=["of", "bucket", "found"])
 
     return run
 
 
-def _learn(parts: DataFrame, groups: int) -> DataFrame:
-    """bucket, grams, times over all blocks."""
-    schema = "bucket int, grams binary, times binary"
+def _learn(parts: DataFrame, groups: int, buckets: int) -> DataFrame:
+    """bucket, keys, times over all blocks, with how many keys and what sum of times."""
+    schema = "bucket int, keys binary, times binary, distinct long, total long"
     by = lambda df: df.repartition("bucket", "group").sortWithinPartitions("bucket", "group")
     if groups > 1:
-        parts = map_arrow(by(parts.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))), _merge, schema)
-    return stage(map_arrow(by(parts.withColumn("group", F.lit(0))), _merge, schema), "ppm-model", "zstd")
+        parts = map_arrow(by(parts.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))), _merge(buckets), schema)
+    return stage(map_arrow(by(parts.select("bucket", "keys", "times", F.lit(0).alias("group"))), _merge(buckets), schema), "ppm-model", "zstd")
 
 
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -284,43 +341,47 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     buckets = min(max(BUCKETS[0], size // BLOCK_BYTES), BUCKETS[1])
     staged = stage(map_arrow(rows, _blocks(order, buckets), ROWS), "ppm-blocks", "zstd")
-    lists = staged.filter("words is not null").select("block", F.explode(F.arrays_zip("words", "codes", "counts")).alias("e"))
-    entries = lists.select("block", F.col("e.words").alias("word"), F.col("e.codes").alias("code"), F.col("e.counts").alias("n"))
-    words = stage(entries.groupBy("word").agg(F.sum("n").alias("c")), "ppm-words", "zstd")
-    counted = staged.agg(F.count(F.when(~F.col("held_out"), 1)).alias("ends"), F.count("words").alias("blocks")).first()
+    counted = staged.agg(F.count(F.when(~F.col("held_out"), 1)).alias("ends"), F.count(F.when(F.col("row") == 0, 1)).alias("blocks")).first()
     ends, groups = counted["ends"], -(-counted["blocks"] // GROUP_BLOCKS)
-    known = words.filter("c > 0").agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
-    total, distinct = (known["n"] or 0) + ends, known["v"] + (ends > 0)
+    parts = staged.filter("bucket is not null").select("block", "bucket", "keys", "times")
+    model = _learn(parts, groups, buckets)
+
+    known = model.filter(F.col("bucket") >= buckets).agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
+    total, distinct = (known["n"] or 0) + ends, (known["v"] or 0) + (ends > 0)
     base = lambda c: np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
     end_base, end_known = float(base(ends)), int(ends > 0)
-
-    parts = staged.filter("bucket is not null").select("block", "bucket", "grams", "times")
-    model = _learn(parts, groups)
-    short = map_arrow(model, _low_counts(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow().sort_by("gram")  # 256 ** NEAR rows at most
+    grams = map_arrow(model.filter(F.col("bucket") < buckets).select("keys", "times"), _low_counts(order), "gram long, n long")
+    short = grams.groupBy("gram").agg(F.sum("n").alias("n")).toArrow().sort_by("gram")  # 256 ** NEAR rows at most
     low = spark.sparkContext.broadcast(Levels().build(short.column("gram").to_numpy(), short.column("n").to_numpy(), NEAR - 1))
-    copies = model.withColumn("block", F.lit(None).cast("long")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(max(groups, 1) - 1))))
+
+    copies = model.select(F.lit(None).cast("long").alias("block"), "bucket", "keys", "times", F.explode(F.sequence(F.lit(0), F.lit(max(groups, 1) - 1))).alias("group"))
     dealt = parts.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(max(groups, 1))).cast("int")).unionByName(copies)
     dealt = dealt.repartition("bucket", "group").sortWithinPartitions("bucket", "group", F.col("block").asc_nulls_first())
-    logs = map_arrow(dealt, _score_parts(low, order), "of long, bucket int, logs binary")
-    back = entries.join(words, "word").select(F.col("block").alias("of"), "code", "c").unionByName(logs, allowMissingColumns=True)
+    back = map_arrow(dealt, _score_parts(low, order, buckets), "of long, bucket int, found binary")
+
+    def in_place(values: pa.Table, of: np.ndarray, kind: type) -> np.ndarray:
+        """The parts' values, in the order of what they were dealt out from."""
+        out = np.empty(len(of), kind)
+        out[np.argsort(of, kind="stable")] = np.concatenate([np.zeros(0, kind), *(expand(x.as_py(), kind) for x in values.sort_by("bucket").column("found"))])
+        return out
 
     def of_block(texts: pa.Table, values: pa.Table) -> pa.Table:
         texts = texts.sort_by("row").combine_chunks()
         n = texts.num_rows
         split = Words(texts.column("text").combine_chunks(), lower=True)
-        of_word = values.filter(pc.is_valid(values.column("c")))
-        c = np.zeros(len(split.uniq), np.int64)
-        c[of_word.column("code").to_numpy()] = of_word.column("c").to_numpy()
+        is_word = pc.greater_equal(values.column("bucket"), buckets)
+        used, c = _used(split), np.zeros(len(split.uniq), np.int64)
+        if len(used):
+            c[used] = in_place(values.filter(is_word), word_bucket(split.uniq.take(pa.array(used)), buckets), np.int64)
         n_words = np.diff(split.offsets)
         of = np.repeat(np.arange(n), n_words)
         known, low_sums = (np.bincount(of, x[split.codes], n) for x in (c > 0, base(c)))
-        of_bucket = values.filter(pc.is_valid(values.column("logs"))).sort_by("bucket")
         grams, firsts = grams_of(split, order)
-        distinct_grams = np.unique(grams)
-        found = np.empty(len(distinct_grams), np.float32)
-        place = np.argsort(bucket_of(distinct_grams, order, buckets), kind="stable")
-        found[place] = np.concatenate([expand(x.as_py(), np.float32) for x in of_bucket.column("logs")])
-        sums, owner = np.zeros(n), np.repeat(np.arange(n), np.diff(firsts))
+        ranked = np.sort(grams)
+        distinct_grams = ranked[np.concatenate(([True], ranked[1:] != ranked[:-1]))]
+        del ranked
+        found = in_place(values.filter(pc.invert(is_word)), bucket_of(distinct_grams, order, buckets), np.float32)
+        sums, owner = np.zeros(n), np.repeat(np.arange(n, dtype=np.int32), np.diff(firsts))
         for k in range(0, len(grams), LOOKUP):
             some = grams[k : k + LOOKUP]
             by_gram = np.argsort(some)
