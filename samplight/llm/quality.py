@@ -5,8 +5,16 @@ abstains (0). Expectation-maximisation over the counts of vote patterns (three
 values a rule, so a table of at most 3**len(RULES) rows, whatever the input)
 estimates how often each rule is right on good and on bad documents; the
 posterior probability of a good document replaces a list of rules that must
-all pass. A document with fewer than 50 words, or with more than half of its
-words in repeated 3-word windows, fails before any vote.
+all pass: a bad vote of a rule that is often wrong on good documents is
+outweighed by the others. The accuracies have no bounds; a weak prior (as if
+PRIOR_SHARE of the documents more had been seen, with the starting values) keeps
+what was never seen from counting as impossible. A document with fewer than 50
+words, or with more than half of its words in repeated 3-word windows, fails
+before any vote.
+
+The thresholds are round values in common use for web text (at most a tenth of
+marks a word, four fifths of letters, words of 3 to 10 characters, three tenths
+of repeated lines, ...), not fitted to labels.
 
 Words are runs of characters other than ``[\\x20\\x09-\\x0D]``. Distinct words are
 counted in each of a text's consecutive windows of SPAN words, the last one
@@ -34,36 +42,49 @@ SPAN = 200
 #: Rule: statistic, good if at most, bad if above (between them it abstains).
 #: Negated statistics make "at least" rules.
 RULES: dict[str, tuple[str, float, float]] = {
-    "symbols": ("n_symbols / n_words", 0.03, 0.10),
-    "capitals": ("n_capitals / greatest(word_chars, 1)", 0.25, 0.50),
-    "exclaiming": ("n_exclaiming / n_words", 0.10, 0.30),
-    "repeated_windows": ("n_repeat_words / n_words", 0.10, 0.25),
-    "repeated_lines": ("n_dup_lines / greatest(n_lines, 8)", 0.10, 0.30),
-    "long_words": ("word_chars / n_words", 12.0, 16.0),
-    "short_words": ("-word_chars / n_words", -2.5, -2.0),
-    "distinct_words": ("-n_distinct / n_words", -0.30, -0.15),
-    "sentences": ("-n_stops / n_words", -0.02, -0.004),
+    "symbols": ("n_symbols / n_words", 0.02, 0.10),
+    "marked_words": ("n_marks / n_words", 0.02, 0.10),
+    "letters": ("-n_letters / greatest(word_chars, 1)", -0.90, -0.80),
+    "capitals": ("n_capitals / greatest(word_chars, 1)", 0.10, 0.30),
+    "exclaiming": ("n_exclaiming / n_words", 0.02, 0.10),
+    "repeated_windows": ("n_repeat_words / n_words", 0.05, 0.18),
+    "repeated_lines": ("n_dup_lines / greatest(n_lines, 1)", 0.05, 0.30),
+    "long_words": ("word_chars / n_words", 8.0, 10.0),
+    "short_words": ("-word_chars / n_words", -4.0, -3.0),
+    "distinct_words": ("-n_distinct / n_words", -0.50, -0.30),
+    "sentences": ("-n_stops / n_words", -0.03, -0.01),
 }
 #: Where expectation-maximisation starts: right on good and on bad documents, and the share of good ones.
-START = (0.999, 0.30, 0.85)
-#: What keeps the two classes apart: a rule's thresholds are meant to spare good
-#: documents, so that it is wrong on 2 in 1000 of them at most; kinds of bad
-#: documents that only one rule sees are then not taken for its errors.
-LIMITS = ((0.998, 0.9999), (0.05, 0.95), (0.30, 0.95))
-ROUNDS = 40
-TOLERANCE = 1e-6
+START = (0.95, 0.30, 0.85)
+#: Weight of the starting values, as a share of the documents.
+PRIOR_SHARE = 0.01
+ROUNDS = 60
+TOLERANCE = 1e-5
 
 
 def _without(text: str, pattern: str) -> str:
     return f"cast(length({text}) - length(regexp_replace({text}, '{pattern}', '')) as long)"
 
 
+def _twice(t: DataFrame, n: str, at: str, words: str) -> DataFrame:
+    """t with the positions p of those of n windows whose hash another one has too; at is the position of window j."""
+    t = t.withColumn("bits", F.expr(f"coalesce(cast(ceil(log2({n} + 1)) as int), 0)"))
+    hashed = f"xxhash64({words.replace('@', at)})"
+    t = t.withColumn("k", F.expr(f"if({n} < 2, cast(array() as array<bigint>), sort_array(transform(sequence(0, {n} - 1), j -> coalesce(shiftleft({hashed}, bits) | cast(j as bigint), 0L))))"))
+    same = "shiftright(get(k, j), bits) = shiftright(get(k, j - 1), bits) or shiftright(get(k, j), bits) = shiftright(get(k, j + 1), bits)"
+    found = "cast(get(k, j) & (shiftleft(1L, bits) - 1L) as int)"
+    place = found if at == "j" else f"get(p, {found})"
+    return t.withColumn("p", F.expr(f"if(size(k) = 0, cast(array() as array<int>), transform(filter(sequence(0, size(k) - 1), j -> {same}), j -> {place}))")).drop("k", "bits")
+
+
 def statistics(docs: DataFrame, *carried: str) -> DataFrame:
     """doc_id, the counts that the rules read, and the columns carried; no shuffle.
 
     Repeated windows: hashes of all 3-word windows are sorted with their
-    positions in the low bits, equal neighbours give the positions, and gaps
-    between those give the words covered.
+    positions in the low bits, and equal neighbours give the positions of windows
+    that may occur twice. As the low bits cost hash bits in very long texts, those
+    go through the same with a second hash. Gaps between the positions give the
+    words covered.
     """
     t = docs.select("doc_id", *carried, F.coalesce("text", F.lit("")).alias("t"))
     t = t.withColumn("b", F.expr("btrim(t, ' \\t\\n\\u000b\\u000c\\r')"))
@@ -74,6 +95,8 @@ def statistics(docs: DataFrame, *carried: str) -> DataFrame:
         F.size("w").cast("long").alias("n_words"),
         F.expr(f"cast(length(regexp_replace(b, r'{SPACE}+', '')) as long)").alias("word_chars"),
         F.expr(_without("b", "[#*$%&|<>]+")).alias("n_symbols"),
+        F.expr("cast(regexp_count(b, '[#*$%&|<>]+') as long)").alias("n_marks"),
+        F.expr("cast(length(regexp_replace(b, '[^\\\\p{L}]+', '')) as long)").alias("n_letters"),
         F.expr(_without("b", "\\\\p{Lu}+")).alias("n_capitals"),
         F.expr(_without("b", "!+")).alias("n_exclaiming"),
         F.expr(_without("b", "[.?!]+")).alias("n_stops"),
@@ -82,12 +105,8 @@ def statistics(docs: DataFrame, *carried: str) -> DataFrame:
         F.expr(f"if(b = '', 0L, aggregate(sequence(0, (size(w) - 1) div {SPAN}), 0L, (a, i) -> a + size(array_distinct(slice(w, cast(i as int) * {SPAN} + 1, {SPAN})))))").alias("n_distinct"),
         F.expr("greatest(size(w) - 2, 0)").alias("m"),
     )
-    t = t.withColumn("bits", F.expr("coalesce(cast(ceil(log2(m + 1)) as int), 0)"))
-    window = "coalesce(shiftleft(xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)), bits) | cast(i as bigint), 0L)"
-    t = t.withColumn("k", F.expr(f"if(m < 2 or bits < 0, cast(array() as array<bigint>), sort_array(transform(sequence(0, m - 1), i -> {window})))")).drop("w")
-    same = "shiftright(get(k, j), bits) = shiftright(get(k, j - 1), bits) or shiftright(get(k, j), bits) = shiftright(get(k, j + 1), bits)"
-    place = "coalesce(get(k, j) & (shiftleft(1L, bits) - 1L), 0L)"
-    t = t.withColumn("p", F.expr(f"if(size(k) = 0, cast(array() as array<bigint>), sort_array(transform(filter(sequence(0, size(k) - 1), j -> {same}), j -> {place})))")).drop("k", "m", "bits")
+    t = _twice(t, "m", "j", "get(w, @), get(w, @ + 1), get(w, @ + 2)")
+    t = _twice(t, "size(p)", "get(p, j)", "7L, get(w, @ + 2), get(w, @ + 1), get(w, @)").withColumn("p", F.sort_array("p")).drop("w", "m")
     covered = "aggregate(sequence(1, size(p) - 1), 3L, (a, i) -> a + least(3L, get(p, i) - get(p, i - 1)))"
     return t.withColumn("n_repeat_words", F.expr(f"if(size(p) = 0, 0L, {covered})")).drop("p")
 
@@ -121,7 +140,6 @@ def estimate(voted: DataFrame) -> tuple[dict[str, tuple[float, float]], float]:
     names = list(RULES)
     patterns = stage(voted.filter("not base_failed").groupBy(*[f"v_{n}" for n in names]).agg(F.count(F.lit(1)).alias("n")), "vote-patterns")
     accuracy, prior = dict.fromkeys(names, START[:2]), START[2]
-    clip = lambda x, k: min(max(x, LIMITS[k][0]), LIMITS[k][1])
     for _ in range(ROUNDS):
         good = F.col("n") * F.col("good")
         sums = [F.sum("n").alias("all"), F.sum(good).alias("good")]
@@ -132,13 +150,10 @@ def estimate(voted: DataFrame) -> tuple[dict[str, tuple[float, float]], float]:
         got = patterns.withColumn("good", posterior(accuracy, prior)).agg(*sums).first()
         if not got["all"]:
             break
-        new = {}
-        for name in names:  # one document's weight of prior belief keeps empty counts sane
-            yes, no = got[f"{name}_good_2"], got[f"{name}_good_0"]
-            wrong, right = got[f"{name}_bad_2"], got[f"{name}_bad_0"]
-            new[name] = clip((yes + START[0]) / (yes + no + 1), 0), clip((right + START[1]) / (right + wrong + 1), 1)
-        new = {k: (g, b) if g + b > 1 else (g, clip(1.001 - g, 1)) for k, (g, b) in new.items()}
-        new_prior = clip(got["good"] / got["all"], 2)
+        extra = PRIOR_SHARE * got["all"]
+        mean = lambda right, wrong, start: (right + start * extra) / (right + wrong + extra)
+        new = {n: (mean(got[f"{n}_good_2"], got[f"{n}_good_0"], START[0]), mean(got[f"{n}_bad_0"], got[f"{n}_bad_2"], START[1])) for n in names}
+        new_prior = mean(got["good"], got["all"] - got["good"], START[2])
         moved = max([abs(prior - new_prior), *(abs(a - b) for k in names for a, b in zip(accuracy[k], new[k], strict=True))])
         accuracy, prior = new, new_prior
         if moved < TOLERANCE:

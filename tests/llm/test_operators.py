@@ -231,6 +231,90 @@ def test_quality_statistics(docs, rows):
     assert quality.keep_good(docs).columns == docs.columns
 
 
+def test_quality_windows_of_very_long_texts(spark, tmp_path):
+    n = 3_000_000
+    docs = spark.createDataFrame([(1, 0), (2, 5)], "doc_id long, again int")
+    docs = docs.selectExpr("doc_id", f"concat_ws(' ', transform(sequence(0, {n - 1} + again), i -> hex(i % {n}))) as text")
+    docs.write.parquet(str(tmp_path / "long"))
+    docs = spark.read.parquet(str(tmp_path / "long"))
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality.statistics(docs).collect()}
+    assert got == {1: 0, 2: 10}  # five words again at the end: three windows, twice
+
+
+def _share(text, pattern):
+    return len(re.findall(pattern, text))
+
+
+def _votes(text):
+    """Votes by the rules' plain reading."""
+    import regex
+
+    w = WORDS.findall(text or "")
+    n, joined = max(1, len(w)), "".join(w)
+    windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+    often = Counter(windows)
+    covered = len({j for k, x in enumerate(windows) if often[x] > 1 for j in (k, k + 1, k + 2)})
+    lines = [x for x in (text or "").split("\n") if WORDS.search(x)]
+    chars = max(1, len(joined))
+    values = {
+        "symbols": _share(joined, r"[#*$%&|<>]") / n, "marked_words": _share(text or "", r"[#*$%&|<>]+") / n, "letters": -len(regex.findall(r"\p{L}", joined)) / chars,
+        "capitals": len(regex.findall(r"\p{Lu}", joined)) / chars, "exclaiming": _share(joined, "!") / n, "repeated_windows": covered / n,
+        "repeated_lines": (len(lines) - len(set(lines))) / max(1, len(lines)), "long_words": len(joined) / n, "short_words": -len(joined) / n,
+        "distinct_words": -sum(len(set(w[k : k + 200])) for k in range(0, len(w), 200)) / n, "sentences": -_share(joined, "[.?!]") / n,
+    }
+    failed = len(w) < 50 or 100 * covered > 50 * len(w)
+    return tuple(1 if x <= quality.RULES[k][1] else -1 if x > quality.RULES[k][2] else 0 for k, x in values.items()), failed
+
+
+def brute_quality(texts):
+    """(p_good, kept) of each text, by expectation-maximisation document by document."""
+    voted = [_votes(t) for t in texts]
+    used = [v for v, failed in voted if not failed]
+    rules = range(len(quality.RULES))
+    accuracy, prior = [quality.START[:2] for _ in rules], quality.START[2]
+
+    def p_good(v):
+        odds = math.log(prior / (1 - prior))
+        for k in rules:
+            g, b = accuracy[k]
+            odds += {1: math.log(g / (1 - b)), -1: math.log((1 - g) / b), 0: 0.0}[v[k]]
+        return 1 / (1 + math.exp(-odds))
+
+    for _ in range(quality.ROUNDS if used else 0):
+        p = [p_good(v) for v in used]
+        extra = quality.PRIOR_SHARE * len(used)
+        new = []
+        for k in rules:
+            yes, no = (sum(x for v, x in zip(used, p, strict=True) if v[k] == s) for s in (1, -1))
+            wrong, right = (sum(1 - x for v, x in zip(used, p, strict=True) if v[k] == s) for s in (1, -1))
+            new.append(((yes + quality.START[0] * extra) / (yes + no + extra), (right + quality.START[1] * extra) / (right + wrong + extra)))
+        accuracy, prior = new, (sum(p) + quality.START[2] * extra) / (len(used) + extra)
+    return [(x := p_good(v), not failed and x >= 0.5) for v, failed in voted]
+
+
+def test_quality_against_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    rows += [(-1, None), (-2, ""), (-3, rows[0]["text"])]
+    docs = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string")
+    want = brute_quality([r[1] for r in rows])
+    got = {r["doc_id"]: r for r in quality.quality(docs).collect()}
+    for r, (p, kept) in zip(rows, want, strict=True):
+        assert got[r[0]]["p_good"] == pytest.approx(p, abs=1e-3) and got[r[0]]["kept"] == kept
+
+
+def test_quality_is_learnt_and_more_than_all_rules_passing(spark):
+    d = "/root/testdata/sf0.01"
+    voted = quality.stage(quality.votes(quality.statistics(spark.read.parquet(f"{d}/documents.parquet"))), "votes")
+    accuracy, prior = quality.estimate(voted)
+    assert len({round(a, 3) for a in sum(accuracy.values(), ())}) > 6 and 0.8 < prior < 0.99
+    assert all(quality.START[:2] != a and 0 < a[0] < 1 and 0 < a[1] < 1 for a in accuracy.values())
+    rows = voted.withColumn("kept", quality.verdict(accuracy, prior)).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("not base_failed").collect()
+    passing = lambda r: all(r[f"v_{k}"] >= 0 for k in quality.RULES)
+    assert any(r["kept"] and not passing(r) for r in rows)
+    assert sum(r["kept"] for r in rows if r["quality"] == 1) >= 0.99 * sum(r["quality"] == 1 for r in rows)
+    assert sum(r["kept"] for r in rows if r["quality"] == 0) <= 0.1 * sum(r["quality"] == 0 for r in rows)
+
+
 def test_quality_reads_distinct_words_of_whole_texts(spark):
     r = random.Random(11)
     clean = [f"word{r.randrange(3000)}" for _ in range(4000)]
