@@ -52,14 +52,34 @@ def stage(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and return the table.
 
     Lineage is cut there: a lost executor costs only the tasks it ran, never
-    what was staged before. Tables stay until the folder is cleared.
+    what was staged before. A lazy result may still read its tables, so they stay
+    until release() or the end of the driver.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    _note_staged(spark)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STAGED: set[str] = set()
+
+
+def _note_staged(spark: SparkSession) -> None:
+    """Have this application's staged tables removed when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _STAGED:
+        _STAGED.add(app)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/staged/{app}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables that this application staged; results that aren't written yet can't be read after it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -119,12 +139,24 @@ def kept(key: tuple, make: Callable[[], object]):
 BROADCAST_LOST = 1_000_000
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as keep it apart from the columns of docs."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id and text_hash (that of text_hash()) are in lost; all columns as they were."""
-    lost = stage(lost.select(F.col("doc_id").alias("__lost_id"), F.col("text_hash").alias("__lost_hash")).distinct(), "lost")
+    key, digest = free_names(docs, "lost_id", "lost_hash")
+    lost = stage(lost.select(F.col("doc_id").alias(key), F.col("text_hash").alias(digest)).distinct(), "lost")
     if lost.count() <= BROADCAST_LOST:
         lost = F.broadcast(lost)
-    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col("__lost_id")) & (text_hash(docs["text"]) == F.col("__lost_hash")), "left_anti")
+    return docs.join(lost, docs["doc_id"].eqNullSafe(F.col(key)) & (text_hash(docs["text"]) == F.col(digest)), "left_anti")
 
 
 def one_of_each(docs: DataFrame, same: DataFrame) -> DataFrame:
@@ -132,17 +164,18 @@ def one_of_each(docs: DataFrame, same: DataFrame) -> DataFrame:
 
     Of a group the row stays that is least over its columns in turn (those that have an order).
     """
-    same = stage(same.select(F.col("doc_id").alias("__same_id"), F.col("text_hash").alias("__same_hash"), F.col("group").alias("__group")).distinct(), "same")
+    key, digest, group, whole = free_names(docs, "same_id", "same_hash", "same_group", "same_row")
+    same = stage(same.select(F.col("doc_id").alias(key), F.col("text_hash").alias(digest), F.col("group").alias(group)).distinct(), "same")
     n = same.count()
     if not n:
         return docs
     if n <= BROADCAST_LOST:
         same = F.broadcast(same)
-    marked = docs.join(same, docs["doc_id"].eqNullSafe(F.col("__same_id")) & (text_hash(docs["text"]) == F.col("__same_hash")), "left")
-    ordered = [F.col(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    least = marked.filter("__group is not null").groupBy("__group").agg(F.min_by(row, F.struct(*ordered)).alias("r"))
-    return marked.filter("__group is null").select(*docs.columns).unionAll(least.select("r.*"))
+    marked = docs.join(same, docs["doc_id"].eqNullSafe(F.col(key)) & (text_hash(docs["text"]) == F.col(digest)), "left")
+    ordered = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    least = marked.filter(F.col(group).isNotNull()).groupBy(group).agg(F.min_by(F.struct(*columns), F.struct(*ordered)).alias(whole))
+    return marked.filter(F.col(group).isNull()).select(*columns).unionAll(least.select(f"{whole}.*"))
 
 
 def text_hash(text: Column) -> Column:

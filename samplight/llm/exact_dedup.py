@@ -76,8 +76,19 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """One row of every group of equal texts, of the smallest doc_id; all columns as they were."""
-    shared = stage(exact_dedup(docs).filter("group_size > 1").select("doc_id", "kept", "text_sha256", "text_hash"), "exact-shared")
-    several = shared.filter("kept").groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("text_sha256")
-    same = shared.filter("kept").join(several, "text_sha256").select("doc_id", "text_hash", F.col("text_sha256").alias("group"))
-    return one_of_each(without(docs, shared.filter("not kept")), same)
+    """One row of every group of equal texts, of the smallest doc_id; all columns as they were.
+
+    Only texts of the length and prefix of a group are hashed as a whole.
+    """
+    groups = exact_groups(docs)
+    keys = ["text_len", "prefix_hash"]
+    shared = groups.select(*keys).distinct()
+    if shared.count() <= BROADCAST_GROUPS:
+        shared = F.broadcast(shared)
+    text = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), normalised(F.col("text")).alias("t"))
+    text = text.select("doc_id", "text_hash", F.length("t").cast("long").alias("text_len"), F.xxhash64(F.substring("t", 1, PREFIX_CHARS)).alias("prefix_hash"), "t").join(shared, keys, "left_semi")
+    rows = text.select("doc_id", "text_hash", *keys, F.unhex(F.sha2("t", 256)).alias("full_hash")).join(groups, [*keys, "full_hash"])
+    rows = stage(rows.select("doc_id", "text_hash", "full_hash", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")), "exact-shared")
+    several = rows.filter("kept").groupBy("full_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("full_hash")
+    same = rows.filter("kept").join(several, "full_hash").select("doc_id", "text_hash", F.hex("full_hash").alias("group"))
+    return one_of_each(without(docs, rows.filter("not kept")), same)
