@@ -16,9 +16,10 @@ fewer words is one shingle). Two documents are linked when
 4. Components of those links are labelled. Where a bucket still has members of
    several components, all pairs between components go through 3 in place:
    first on the codes, which leaves the members that have a surviving pair,
-   then on the full sets of those. Buckets are dealt out in pairs of blocks of
-   bounded size, a pair of documents is looked at in the first band it shares,
-   and only links that join components are written.
+   then on the full sets of those. Only pairs with a member outside the bucket's
+   largest component are looked at: such members, in blocks of bounded size, meet
+   the blocks of all members. A pair of documents is looked at in the first band
+   it shares, and only links that join components are written.
 
 A pair at the threshold is missed by all bands with probability
 (1 - s**ROWS)**BANDS: 7e-8 at 0.85, 1.5e-5 at 0.8.
@@ -26,7 +27,8 @@ Sets are kept as 64-bit hashes of shingles.
 
 Edge cases: texts without a word (null, empty) have no shingle and are linked
 with nothing, not even each other; rows that repeat a doc_id with the same text
-are one document; rows without a doc_id get a null component and are kept; an
+are one document; rows of one doc_id with different texts have a set each and the
+links of all of them; rows without a doc_id get a null component and are kept; an
 empty table gives an empty result; ``keep_representatives`` carries all other
 columns untouched.
 """
@@ -209,13 +211,13 @@ def _grouped(run_group):
 
 
 def _pairs_across(t: pa.Table, percent: int, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of a group, of different components, that survive the batches.
+    """Pairs of rows of a group, of different sides and components, that survive the batches.
 
     A pair meets in every band that it shares; it is looked at in the first.
     """
     if not t.num_rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    group, band, block, comp, size, crossing = (t.column(c).to_numpy() for c in ("grp", "band", "block", "comp", "n_shingles", "crossing"))
+    group, band, side, comp, size = (t.column(c).to_numpy() for c in ("grp", "band", "side", "comp", "n_shingles"))
     codes = _codes(t.column("codes").chunk(0))
     keys = np.frombuffer(pa.concat_arrays([t.column("bands").chunk(0)]).buffers()[2], np.uint64).reshape(-1, BANDS)
     ends = np.searchsorted(group, group, side="right")
@@ -225,7 +227,7 @@ def _pairs_across(t: pa.Table, percent: int, least: list[int]) -> tuple[np.ndarr
         lag += 1
         idx = idx[idx + lag < ends[idx]]
         a, b = idx, idx + lag
-        ok = (comp[a] != comp[b]) & (~crossing[a] | (block[a] != block[b])) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
+        ok = (comp[a] != comp[b]) & (side[a] != side[b]) & (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b]))
         a, b = a[ok], b[ok]
         if len(a):
             first = (keys[a] == keys[b]).argmax(axis=1) == band[a]
@@ -341,12 +343,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     crowded = members.filter("n > 2").join(labels.select("id", F.col("label").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     crowded = stage(crowded.join(linker.codes.select("id", "n_shingles"), "id"), "crowded")
-    still_open = crowded.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum("n_shingles").alias("shingles")).filter("x < y")
-    still_open = stage(still_open.select("key", "shingles"), "open")
-    dealt = crowded.join(still_open, "key").withColumn("blocks", F.expr(f"cast(ceil(greatest(n / {BLOCK}, shingles / {BLOCK_SHINGLES})) as int)"))
-    dealt = dealt.withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    group = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))  # two blocks, or one with itself
-    dealt = dealt.select("id", "comp", "band", "block", (F.col("other") != F.col("block")).alias("crossing"), group.alias("grp"))
+    parts = stage(crowded.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")), "bucket-components")
+    still_open = parts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp", "shingles")).alias("main"), F.sum("n").alias("all"), F.sum("shingles").alias("shingles")).filter("comps > 1")
+    still_open = stage(still_open.select(
+        "key", F.col("main.comp").alias("main"),
+        F.expr(f"cast(ceil(greatest((all - main.n) / {BLOCK}, (shingles - main.shingles) / {BLOCK_SHINGLES}, 1)) as int)").alias("outer_blocks"),
+        F.expr(f"cast(ceil(greatest(all / {BLOCK}, shingles / {BLOCK_SHINGLES}, 1)) as int)").alias("all_blocks"),
+    ), "open")
+    dealt = crowded.select("id", "comp", "band", "key").join(still_open, "key").withColumn("outside", F.col("comp") != F.col("main"))
+    dealt = dealt.withColumn("outer", F.expr("cast(pmod(xxhash64(id, 1L), outer_blocks) as int)")).withColumn("inner", F.expr("cast(pmod(xxhash64(id), all_blocks) as int)"))
+    # a member outside the main component meets all blocks of members; of two such members the pair is met once, or twice in one block
+    as_outer = F.expr("if(outside, transform(sequence(0, all_blocks - 1), x -> struct(outer as o, x as i, 0 as side)), array())")
+    as_inner = F.expr("transform(sequence(if(outside, outer, 0), outer_blocks - 1), x -> struct(x as o, inner as i, 1 as side))")
+    dealt = dealt.withColumn("place", F.explode(F.concat(as_outer, as_inner)))
+    dealt = dealt.select("id", "comp", "band", F.col("place.side").alias("side"), F.xxhash64("key", "place.o", "place.i").alias("grp"))
     dealt = dealt.join(linker.codes, "id").repartition("grp").sortWithinPartitions("grp")
     needed = stage(map_arrow(dealt, _needed(percent), dealt.schema), "needed")
     met = needed.join(linker.sets, "id").repartition("grp").sortWithinPartitions("grp")
