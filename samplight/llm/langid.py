@@ -118,13 +118,18 @@ def _add_logs(source: np.ndarray, to: np.ndarray, step: np.ndarray, weight: np.n
             values[target[begin]] = np.logaddexp(values[target[begin]], np.logaddexp.reduceat(values[source[a:b]] + weight[a:b], begin, axis=0))
 
 
-def batches_of(words: Sequence[str]) -> Iterator[tuple[np.ndarray, str]]:
-    """(rows of words, how they are summed: plain, logs or parts) with bounded arcs each."""
+def plain_chars(chances: np.ndarray) -> int:
+    """Characters of the longest words whose products can't underflow, PLAIN_CHARS at most."""
+    return min(PLAIN_CHARS, int(290 / max(1e-9, -math.log10(chances.min()))) - 1)
+
+
+def batches_of(words: Sequence[str], most: int) -> Iterator[tuple[np.ndarray, str]]:
+    """(rows of words, how they are summed: plain up to most characters, logs or parts) with bounded arcs each."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    plain = np.flatnonzero(sizes <= PLAIN_CHARS)
+    plain = np.flatnonzero(sizes <= most)
     for k in range(0, len(plain), ARC_WORDS):
         yield plain[k : k + ARC_WORDS], "plain"
-    long = np.flatnonzero((sizes > PLAIN_CHARS) & (sizes <= ARC_CHARS))
+    long = np.flatnonzero((sizes > most) & (sizes <= ARC_CHARS))
     long = long[np.argsort(sizes[long], kind="stable")]
     bins = np.cumsum(sizes[long]) // ARC_CHARS
     for rows in np.split(long, np.flatnonzero(np.diff(bins)) + 1):
@@ -161,7 +166,7 @@ def _forward_parts(pieces: Pieces, word: str, logs: np.ndarray) -> np.ndarray:
 def forward(pieces: Pieces, words: Sequence[str], chances: np.ndarray) -> np.ndarray:
     """Natural log of each word's probability in each language, over all segmentations."""
     out, logs = np.zeros((len(words), chances.shape[1])), np.log(chances)
-    for rows, way in batches_of(words):
+    for rows, way in batches_of(words, plain_chars(chances)):
         some = [words[k] for k in rows.tolist()]
         if way == "parts":
             out[rows] = _forward_parts(pieces, some[0], logs)[-1]
@@ -187,7 +192,7 @@ def fit(pieces: Pieces, words: list[str], counts: np.ndarray, rounds: int = ROUN
     chances = np.full((pieces.count, n_langs), 1 / pieces.count)
     for _ in range(rounds):
         sums = np.full((pieces.count, n_langs), SMOOTHING)
-        for rows, way in batches_of(words):
+        for rows, way in batches_of(words, plain_chars(chances)):
             {"plain": _expect, "logs": _expect_logs, "parts": _expect_parts}[way](pieces, [words[k] for k in rows.tolist()], counts[rows], chances, sums)
         chances = sums / sums.sum(axis=0)
     return chances
@@ -284,17 +289,14 @@ def train(docs: DataFrame, vocabulary: str | None = None, sample_docs: int = SAM
     sample = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1_000_000)) < F.element_at(rates, F.col("lang")))
     counted = map_arrow(sample.select("text", "lang"), _count_words, "lang string, word string, n long")
     counted = counted.filter("word != ''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rows: dict[str, int] = {}
-    cells: list[tuple[int, int, int]] = []
-    for k, lang in enumerate(langs):
-        for r in counted.filter(F.col("lang") == lang).orderBy(F.desc("n"), "word").toLocalIterator():
-            cells.append((rows.setdefault(r["word"], len(rows)), k, r["n"]))
-    if not rows:
+    cells = counted.toArrow()  # the distinct words of about sample_docs documents of each language, in one job
+    if not cells.num_rows:
         return Model([], vocabulary, np.zeros((0, 0)))
-    counts = np.zeros((len(rows), len(langs)))
-    for row, k, n in cells:
-        counts[row, k] = n
-    return Model(langs, vocabulary, fit(Pieces(vocabulary), list(rows), counts))
+    words = cells.column("word").combine_chunks().dictionary_encode()
+    counts = np.zeros((len(words.dictionary), len(langs)))
+    counts[np.asarray(words.indices), np.searchsorted(np.array(langs, object), cells.column("lang").to_pylist())] = cells.column("n").to_numpy()
+    order = np.argsort(np.array(words.dictionary.to_pylist(), object))
+    return Model(langs, vocabulary, fit(Pieces(vocabulary), words.dictionary.take(pa.array(order)).to_pylist(), counts[order]))
 
 
 def _scorer(model: Model) -> WordStore:
