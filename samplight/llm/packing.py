@@ -2,7 +2,7 @@
 
 A document's ids (with one end id) are cut every ``width``; the full pieces
 are sequences of their own and the rests are packed. Pieces are dealt into
-groups of about GROUP_PIECES by a hash; each group is packed by first-fit
+groups of about GROUP_PIECES by a hash of their place in the staged table; each group is packed by first-fit
 decreasing, where a tournament tree over the free room of the group's bins
 finds the first bin that a piece fits in with one walk from the root.
 
@@ -111,5 +111,5 @@ def pack(docs: DataFrame, width: int = WIDTH, vocabulary: str | None = None, end
     ship(docs.sparkSession)
     pieces = stage(map_arrow(docs.select("doc_id", "text"), _cut(vocabulary or default_vocabulary(), end_id, width), PIECES), "pieces")
     groups = -(-max(1, pieces.count()) // group_pieces)
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))  # the row's own place: equal rows are spread
     return dealt.groupBy("pack_group").applyInArrow(_pack(width), f"{PIECES}, sequence_id long, offset long")
