@@ -3,7 +3,9 @@
 Features say whether a text has a word or a piece of a word (4 or 5 characters,
 ends marked). Those that toxic labelled documents have far more often than
 clean ones are kept (at most MAX_FEATURES); the labels, which only say toxic or
-not, become grades by how many different marked words a toxic document has.
+not, become grades by how many different marked words a toxic document has;
+marked for that are words with features found on the other half of the sample,
+so that a document's grade doesn't rest on what it was itself counted for.
 The regression shares one weight vector across the ordered thresholds:
 P(grade > k) = 1 / (1 + exp(threshold_k - w.x)); the output is the expected
 grade. It is fitted on a bounded sample of labelled documents, whole texts,
@@ -12,7 +14,8 @@ weighted back to the labels' shares.
 Edge cases: null, empty and unlabelled texts are scored like others; without
 labels of both kinds every document is clean; rows that repeat a document get
 the same answer; an empty table gives an empty result; other columns are
-ignored; labels without a document or with nulls are not used.
+ignored; labels without a document, with nulls or that contradict each other are
+not used.
 """
 
 from __future__ import annotations
@@ -50,18 +53,22 @@ def _grams(word: str) -> set[str]:
     return out
 
 
+#: Documents that have a feature: clean and toxic ones of either half of the sample.
+COUNTS = ("clean_0", "clean_1", "toxic_0", "toxic_1")
+
+
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in text_slices(batch, limit=1 << 20):
             words, code, strings = cores(rows.column("text"))
-            toxic = rows.column("toxic").to_pylist()
+            kind = [2 * y + half for y, half in zip(rows.column("toxic").to_pylist(), rows.column("half").to_pylist(), strict=True)]
             grams = [_grams(s) if s else set() for s in strings]
-            seen = (Counter(), Counter())
-            for i, y in enumerate(toxic):
+            seen = [Counter() for _ in range(4)]
+            for i, k in enumerate(kind):
                 own = np.unique(code[words.codes[words.offsets[i] : words.offsets[i + 1]]])
-                seen[y].update(set().union(*[grams[k] for k in own.tolist()]))
-            names = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[g] for g in names], pa.int64()) for c in seen)], names=["feature", "clean", "toxic"])
+                seen[k].update(set().union(*[grams[k] for k in own.tolist()]))
+            names = list(set().union(*seen))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[g] for g in names], pa.int64()) for c in seen)], names=["feature", *COUNTS])
 
 
 class Matcher:
@@ -145,39 +152,51 @@ def fit(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, weights: np.n
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fit on about sample_docs toxic and as many clean labelled documents."""
     spark = docs.sparkSession
-    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").dropDuplicates(["doc_id"])
+    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
+    usable = usable.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
     sizes = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Model([], np.zeros(0), np.zeros(1))
     rate = {y: min(1.0, sample_docs / n) for y, n in sizes.items()}
     chosen = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, rate[1] * 1e6).otherwise(rate[0] * 1e6))
-    sample = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxicity-sample")  # about 2 * sample_docs ids
-    found = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(found) < 2:
+    half = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)).cast("int").alias("half")
+    sample = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", half), "toxicity-sample")  # about 2 * sample_docs ids
+    found = {(r["toxic"], r["half"]): r["n"] for r in sample.groupBy("toxic", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len({y for y, _ in found}) < 2:
         return Model([], np.zeros(0), np.zeros(1))
-    counted = map_arrow(sample.select("text", "toxic"), _count_features, "feature string, clean long, toxic long")
-    counted = counted.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.col("toxic") >= LEAST_DOCS)
-    n0, n1 = found[0], found[1]
-    share = (F.col("toxic") + F.col("clean")) / F.lit(n0 + n1)
-    apart = (F.col("toxic") / n1 - F.col("clean") / n0) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n0 + 1 / n1))
-    best = counted.withColumn("z", apart).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()
-    features = [r["feature"] for r in best]
+    counted = map_arrow(sample.select("text", "toxic", "half"), _count_features, "feature string, " + ", ".join(f"{c} long" for c in COUNTS))
+    counted = stage(counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in COUNTS]).filter(f"toxic_0 + toxic_1 >= {LEAST_DOCS}"), "toxicity-counts")
+
+    def select(*halves: int) -> list[str]:
+        """The features that toxic documents of these halves have far more often than clean ones."""
+        n0, n1 = (sum(found.get((y, h), 0) for h in halves) for y in (0, 1))
+        if not n0 or not n1:
+            return []
+        clean, toxic = (sum((F.col(f"{y}_{h}") for h in halves), F.lit(0)) for y in ("clean", "toxic"))
+        share = (toxic + clean) / F.lit(n0 + n1)
+        apart = (toxic / n1 - clean / n0) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n0 + 1 / n1))
+        best = counted.withColumn("z", apart).filter((F.col("z") >= LEAST_Z) & (toxic >= LEAST_DOCS)).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
+        return [r["feature"] for r in best.select("feature", "z").collect()]
+
+    features = select(0, 1)
     if not features:
         return Model([], np.zeros(0), np.zeros(1))
-    shared = spark.sparkContext.broadcast(features)
+    shared = spark.sparkContext.broadcast((features, select(1), select(0)))  # those of the other half by half
 
     def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value)
+        matchers = [Matcher(f) for f in shared.value]
         for batch in batches:
             for rows in text_slices(batch):
-                text, feature, marked = matcher.per_text(rows.column("text"))
+                text, feature, _ = matchers[0].per_text(rows.column("text"))
+                others = np.stack([m.per_text(rows.column("text"))[2] for m in matchers[1:]])
+                marked = others[np.asarray(rows.column("half")), np.arange(rows.num_rows)]
                 cut = np.searchsorted(text, np.arange(rows.num_rows + 1))
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), rows.column("toxic"), pa.array(marked), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(feature.astype(np.int32)))],
                     names=["doc_id", "toxic", "marked", "features"],
                 )
 
-    got = map_arrow(sample.select("doc_id", "text", "toxic"), found_in, "doc_id long, toxic int, marked long, features array<int>").collect()
+    got = map_arrow(sample, found_in, "doc_id long, toxic int, marked long, features array<int>").collect()
     got.sort(key=lambda r: (r["doc_id"], r["features"]))
     rows = np.repeat(np.arange(len(got)), [len(r["features"]) for r in got])
     columns = np.array([f for r in got for f in r["features"]], np.int64)

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from samplight.llm import bpe, exact_dedup, langid, minhash, packing, ppm, quality, sharding, token_files, toxicity
 from samplight.llm.tokens import default_vocabulary, library_encoder
@@ -388,7 +389,7 @@ def test_langid_sums_whole_long_words(monkeypatch):
         monkeypatch.setattr(langid, "ARC_CHARS", chars)
         assert np.allclose(langid.forward(pieces, words, chances), want)
         got = np.zeros((pieces.count, 2))
-        for rows, way in langid.batches_of(short):
+        for rows, way in langid.batches_of(short, langid.PLAIN_CHARS):
             {"plain": langid._expect, "logs": langid._expect_logs, "parts": langid._expect_parts}[way](pieces, [short[k] for k in rows], counts[rows], chances, got)
         assert np.allclose(got, plain)
 
@@ -401,9 +402,35 @@ def test_langid_and_toxicity_held_out(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)
     odd = spark.createDataFrame([(1, None, None), (2, "12 !?", None)], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in langid.identify(odd, model).collect()} == {"und"}
-    graded = toxicity.grade(docs, toxicity.train(docs, labels)).join(labels, "doc_id")
-    counts = Counter((r["p_toxic"] > 0.5, r[-1]) for r in graded.collect())
-    assert counts[True, 0] <= 0.02 * (counts[True, 0] + counts[False, 0])
+
+
+def test_langid_does_not_underflow():
+    pieces = langid.Pieces(langid.default_vocabulary())
+    chances = np.full((pieces.count, 2), 1e-12)
+    chances[:, 1] = 1e-11
+    for n in (5, 31, 32, 33):
+        got = langid.forward(pieces, ["\u4e00" * n, "a"], chances)
+        assert np.isfinite(got).all() and (got[:, 1] > got[:, 0]).all()
+    assert langid.plain_chars(chances) < 32 == langid.plain_chars(np.full((2, 2), 1e-3))
+
+
+def test_toxicity_finds_labelled_documents_that_it_did_not_learn_from(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    learnt = "pmod(xxhash64(doc_id, 99L), 4) != 0"
+    model = toxicity.train(docs, labels.filter(learnt))
+    rows = toxicity.grade(docs, model).join(labels.filter(f"not ({learnt})").select("doc_id", F.col("toxic").alias("label")), "doc_id").collect()
+    toxic, clean = ([r for r in rows if r["label"] == y] for y in (1, 0))
+    assert len(toxic) >= 50 and sum(r["toxic"] for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r["toxic"] for r in clean) <= 0.02 * len(clean)
+    assert all((np.diff(model.thresholds) > 0).tolist()) and all(0 <= r["expected_severity"] <= len(model.thresholds) for r in rows)
+
+
+def test_toxicity_with_labels_that_contradict(spark):
+    docs = spark.createDataFrame([(i, "filthy rubbish here" if i % 2 else "clean words here") for i in range(60)] + [(None, "filthy")], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(60)] + [(0, 1), (1, 0), (None, 1), (5, None), (2, 7)]
+    found = [{r["doc_id"]: r["p_toxic"] for r in toxicity.grade(docs, toxicity.train(docs, spark.createDataFrame(x, "doc_id long, toxic int"))).collect()} for x in (labels, labels[::-1])]
+    assert found[0] == found[1] and found[0][1] > 0.5 > found[0][0]
 
 
 def test_langid_fits_on_all_words_of_its_sample(spark, monkeypatch):
