@@ -116,12 +116,25 @@ def test_token_files(docs, rows, spark, tmp_path):
     want = sorted((rows[k][0], int(s), len(ids[k]), zlib.crc32(np.array(ids[k], "<u4").tobytes())) for k, s in zip(order, starts, strict=False))
     token_files.write_token_files(docs, str(tmp_path / "t"), block_ids=3000)
     assert sorted(map(tuple, token_files.read_token_files(spark, str(tmp_path / "t")).collect())) == want
+    flat = np.concatenate([ids[k] for k in order])
+    files = token_files.TokenFiles(spark, str(tmp_path / "t"))
+    at = [0, 1, len(flat) - 1, *random.Random(4).sample(range(len(flat)), 200)]
+    assert [files.token_at(i) for i in at] == flat[at].tolist()
+    before = files.bytes_read
+    for i in at:
+        files.token_at(i)
+    assert files.bytes_read - before < 100 * len(at)  # every file's footer and every block's head were read before
+    for i in (-1, len(flat)):
+        with pytest.raises(IndexError):
+            files.token_at(i)
 
 
 def test_addressable_codes():
     r = np.random.default_rng(1)
     for ids in (r.integers(0, 2**k, 5000, dtype=np.uint32) for k in (1, 8, 9, 17, 32)):
-        reader = token_files.DacReader(token_files.dac_encode(ids))
+        block = token_files.dac_encode(ids)
+        reader, ranges = token_files.DacReader(block), token_files.DacRanges(lambda at, n: block[at : at + n])  # noqa: B023
+        assert all(ranges[i] == ids[i] for i in range(0, 5000, 7))
         assert (reader.all() == ids).all() and all(reader[i] == ids[i] for i in (0, 1, 511, 512, 4095, 4999))
     assert len(token_files.DacReader(token_files.dac_encode(np.zeros(0, np.uint32)))) == 0
 
