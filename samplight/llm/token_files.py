@@ -17,7 +17,9 @@ at which id of all each block begins and in which file it lies. ``TokenFiles``
 reads any id of all with some ranges of bytes: the file's footer once, the
 block's head once, and some dozen bytes an id.
 
-Texts are encoded where they are read; only ids are sorted and shuffled.
+Texts are encoded where they are read, once; only ids, compressed, are shuffled.
+To which partition a document goes is told by bounds of keys, cut at equal bytes
+of a sample of them.
 
 Edge cases: null and empty texts give the end id alone; an empty table gives
 files without blocks; a null doc_id sorts first; rows that repeat a doc_id are
@@ -27,6 +29,7 @@ be in several files.
 
 from __future__ import annotations
 
+import bisect
 import io
 import struct
 import uuid
@@ -40,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samplight.llm.common import map_arrow, shared_dir, stage, text_hash, text_slices
+from samplight.llm.common import map_arrow, shared_dir, text_hash, text_slices
 from samplight.llm.tokens import default_vocabulary, library_encoder
 
 MAGIC = b"DAC1"
@@ -157,16 +160,44 @@ class DacRanges:
         return value
 
 
-def _planes(ids: np.ndarray) -> bytes:
-    """Ids as their first bytes, then their second ones, and so on: what compresses well in a shuffle."""
-    return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _packed(ids: np.ndarray) -> bytes:
+    """Ids as their first bytes, then their second ones, and so on, compressed."""
+    planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return struct.pack("<Q", len(ids)) + pa.Codec("zstd", 1).compress(planes, asbytes=True)
 
 
-def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+def _unpacked(data: bytes) -> np.ndarray:
+    (n,) = struct.unpack_from("<Q", data)
+    planes = pa.Codec("zstd").decompress(data[8:], 4 * n, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<u4").reshape(n)
 
 
-def _encode(vocabulary: str, end_id: int):
+#: Text bytes of one partition, about, and keys of each that are sampled for the bounds, on average.
+PART_BYTES, PART_KEYS = 12 << 20, 200
+Key = tuple[bool, int, int, int]
+
+
+def _key(doc_id: int | None, tie: int, place: int) -> Key:
+    """Where a row comes: null ids first, then by id, hash of the text and place in the input."""
+    return doc_id is not None, doc_id or 0, tie, place
+
+
+def _bounds(rows: DataFrame) -> list[Key]:
+    """First keys of all partitions but the first; equal bytes of a sample lie between them."""
+    size = F.octet_length("text").cast("long") + 8
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.coalesce(size, F.lit(8).cast("long"))), F.lit(0)).alias("bytes")).first()
+    parts = max(1, -(-total["bytes"] // PART_BYTES))
+    if parts == 1:
+        return []
+    share = min(1.0, parts * PART_KEYS / total["n"])
+    found = rows.select("doc_id", "tie", "place", F.coalesce(size, F.lit(8).cast("long")).alias("size")).sample(share, 7).collect()  # about parts * PART_KEYS rows
+    keys = sorted((_key(r["doc_id"], r["tie"], r["place"]), r["size"]) for r in found)
+    upto = np.cumsum([n for _, n in keys])
+    cuts = np.searchsorted(upto, np.arange(1, parts) * (upto[-1] if len(upto) else 0) / parts)
+    return sorted({keys[k][0] for k in cuts.tolist() if k < len(keys)})
+
+
+def _encode(vocabulary: str, end_id: int, bounds: list[Key]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(vocabulary)
         for batch in batches:
@@ -174,8 +205,10 @@ def _encode(vocabulary: str, end_id: int):
                 flat, offsets = encoder.batch(rows.column("text"))
                 ids = np.insert(flat, offsets[1:], end_id)
                 ends = offsets[1:] + np.arange(1, len(offsets))
-                packed = [_planes(ids[a:b]) for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tie"), pa.array(packed, pa.binary())], names=["doc_id", "tie", "ids"])
+                packed = [_packed(ids[a:b]) for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+                keys = zip(*(rows.column(c).to_pylist() for c in ("doc_id", "tie", "place")), strict=True)
+                part = [bisect.bisect_right(bounds, _key(*k)) for k in keys]
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", "tie", "place")), pa.array(part, pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "tie", "place", "part", "ids"])
 
     return run
 
@@ -197,7 +230,7 @@ def _write_blocks(block_ids: int):
         for batch in batches:
             for doc, packed in zip(batch.column("doc_id"), batch.column("ids"), strict=True):
                 docs.append(doc.as_py())
-                ids.append(_from_planes(packed.as_buffer()))
+                ids.append(_unpacked(packed.as_py()))
                 held += len(ids[-1])
                 if held >= block_ids:
                     yield flush()
@@ -221,10 +254,10 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
 
     The driver sees one count for each partition that was written.
     """
-    named = docs.select("doc_id", "text", text_hash(F.col("text")).alias("tie"))
-    encoded = stage(map_arrow(named, _encode(vocabulary or default_vocabulary(), end_id), "doc_id long, tie long, ids binary"), "token-ids", "zstd")
-    order = ["doc_id", "tie", "place"]
-    ordered = encoded.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    named = docs.select("doc_id", "text", text_hash(F.col("text")).alias("tie"), F.monotonically_increasing_id().alias("place"))
+    bounds = _bounds(named)
+    encoded = map_arrow(named, _encode(vocabulary or default_vocabulary(), end_id, bounds), "doc_id long, tie long, place long, part int, ids binary")
+    ordered = encoded.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id", "tie", "place")
     map_arrow(ordered.select("doc_id", "ids"), _write_blocks(block_ids), SCHEMA).write.options(**CONTAINER).parquet(f"{path}/blocks")
     blocks = docs.sparkSession.read.schema(SCHEMA).parquet(f"{path}/blocks")
     starts, total = {}, 0

@@ -109,7 +109,9 @@ def _library_ids(rows):
     return [e.ids for e in t.encode_batch([r[1] or "" for r in rows], add_special_tokens=False)]
 
 
-def test_token_files(docs, rows, spark, tmp_path):
+@pytest.mark.parametrize("part_bytes", [token_files.PART_BYTES, 20_000])
+def test_token_files(docs, rows, spark, tmp_path, monkeypatch, part_bytes):
+    monkeypatch.setattr(token_files, "PART_BYTES", part_bytes)
     order = sorted(range(len(rows)), key=lambda k: rows[k][0])
     ids = [x + [2] for x in _library_ids(rows)]
     starts = np.cumsum([0] + [len(ids[k]) for k in order])
