@@ -52,6 +52,8 @@ RANK_BITS = 512
 #: Ids after which a block ends (at the end of a document).
 BLOCK_IDS = 1 << 20
 END_ID = 2
+#: Text bytes that one step of encoding works on, and words whose ids a worker keeps.
+ENCODE_BYTES, STORE_WORDS = 3 << 20, 200_000
 
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -199,9 +201,9 @@ def _bounds(rows: DataFrame) -> list[Key]:
 
 def _encode(vocabulary: str, end_id: int, bounds: list[Key]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(vocabulary)
+        encoder = library_encoder(vocabulary, STORE_WORDS)
         for batch in batches:
-            for rows in text_slices(batch):
+            for rows in text_slices(batch, limit=ENCODE_BYTES):
                 flat, offsets = encoder.batch(rows.column("text"))
                 ids = np.insert(flat, offsets[1:], end_id)
                 ends = offsets[1:] + np.arange(1, len(offsets))
