@@ -17,9 +17,9 @@ at which id of all each block begins and in which file it lies. ``TokenFiles``
 reads any id of all with some ranges of bytes: the file's footer once, the
 block's head once, and some dozen bytes an id.
 
-Texts are encoded where they are read, once; only ids are shuffled.
-To which partition a document goes is told by bounds of keys, cut at equal bytes
-of a sample of them.
+Texts are dealt out by ranges of (doc_id, hash of the text, place in the input),
+so that rows that repeat a doc_id can be split, and encoded in that order.
+(Encoded first, the ids that are shuffled have about the size of the texts.)
 
 Edge cases: null and empty texts give the end id alone; an empty table gives
 files without blocks; a null doc_id sorts first; rows that repeat a doc_id are
@@ -29,7 +29,6 @@ be in several files.
 
 from __future__ import annotations
 
-import bisect
 import io
 import struct
 import uuid
@@ -52,8 +51,6 @@ RANK_BITS = 512
 #: Ids after which a block ends (at the end of a document).
 BLOCK_IDS = 1 << 20
 END_ID = 2
-#: Text bytes that one step of encoding works on, and words whose ids a worker keeps.
-ENCODE_BYTES, STORE_WORDS = 5 << 20, 250_000
 
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -162,74 +159,29 @@ class DacRanges:
         return value
 
 
-def _planes(ids: np.ndarray) -> bytes:
-    """Ids as their first bytes, then their second ones, and so on: what a shuffle compresses well."""
-    return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
-
-
-#: Text bytes of one partition, about, and keys of each that are sampled for the bounds, on average.
-PART_BYTES, PART_KEYS = 12 << 20, 200
-Key = tuple[bool, int, int, int]
-
-
-def _key(doc_id: int | None, tie: int, place: int) -> Key:
-    """Where a row comes: null ids first, then by id, hash of the text and place in the input."""
-    return doc_id is not None, doc_id or 0, tie, place
-
-
-def _bounds(rows: DataFrame) -> list[Key]:
-    """First keys of all partitions but the first; equal bytes of a sample lie between them."""
-    size = F.octet_length("text").cast("long") + 8
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.coalesce(size, F.lit(8).cast("long"))), F.lit(0)).alias("bytes")).first()
-    parts = max(1, -(-total["bytes"] // PART_BYTES))
-    if parts == 1:
-        return []
-    share = min(1.0, parts * PART_KEYS / total["n"])
-    found = rows.select("doc_id", "tie", "place", F.coalesce(size, F.lit(8).cast("long")).alias("size")).sample(share, 7).collect()  # about parts * PART_KEYS rows
-    keys = sorted((_key(r["doc_id"], r["tie"], r["place"]), r["size"]) for r in found)
-    upto = np.cumsum([n for _, n in keys])
-    cuts = np.searchsorted(upto, np.arange(1, parts) * (upto[-1] if len(upto) else 0) / parts)
-    return sorted({keys[k][0] for k in cuts.tolist() if k < len(keys)})
-
-
-def _encode(vocabulary: str, end_id: int, bounds: list[Key]):
+def _write_blocks(vocabulary: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(vocabulary, STORE_WORDS)
-        for batch in batches:
-            for rows in text_slices(batch, limit=ENCODE_BYTES):
-                flat, offsets = encoder.batch(rows.column("text"))
-                ids = np.insert(flat, offsets[1:], end_id)
-                ends = offsets[1:] + np.arange(1, len(offsets))
-                packed = [_planes(ids[a:b]) for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
-                keys = zip(*(rows.column(c).to_pylist() for c in ("doc_id", "tie", "place")), strict=True)
-                part = [bisect.bisect_right(bounds, _key(*k)) for k in keys]
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", "tie", "place")), pa.array(part, pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "tie", "place", "part", "ids"])
-
-    return run
-
-
-def _write_blocks(block_ids: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        encoder, part = library_encoder(vocabulary), TaskContext.get().partitionId()
         seq = start = held = 0
-        docs, ids = [], []
+        docs, lengths, ids = [], [], []
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq, start, docs, ids, held
+            nonlocal seq, start, docs, lengths, ids, held
             block = dac_encode(np.concatenate(ids))
-            row = {"part": [part], "seq": [seq], "part_start": [start], "n_ids": [held], "n_bytes": [len(block)], "doc_ids": [docs], "doc_lengths": [[len(x) for x in ids]], "block": [block]}
+            row = {
+                "part": [part], "seq": [seq], "part_start": [start], "n_ids": [held], "n_bytes": [len(block)],
+                "doc_ids": [docs], "doc_lengths": [np.concatenate(lengths).tolist()], "block": [block],
+            }
             seq, start = seq + 1, start + held
-            docs, ids, held = [], [], 0
+            docs, lengths, ids, held = [], [], [], 0
             return pa.RecordBatch.from_pydict(row, schema=_ARROW)
 
         for batch in batches:
-            for doc, packed in zip(batch.column("doc_id"), batch.column("ids"), strict=True):
-                docs.append(doc.as_py())
-                ids.append(_from_planes(packed.as_buffer()))
+            for rows in text_slices(batch):
+                flat, offsets = encoder.batch(rows.column("text"))
+                ids.append(np.insert(flat, offsets[1:], end_id))
+                docs += rows.column("doc_id").to_pylist()
+                lengths.append(np.diff(offsets) + 1)
                 held += len(ids[-1])
                 if held >= block_ids:
                     yield flush()
@@ -254,10 +206,10 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     The driver sees one count for each partition that was written.
     """
     named = docs.select("doc_id", "text", text_hash(F.col("text")).alias("tie"), F.monotonically_increasing_id().alias("place"))
-    bounds = _bounds(named)
-    encoded = map_arrow(named, _encode(vocabulary or default_vocabulary(), end_id, bounds), "doc_id long, tie long, place long, part int, ids binary")
-    ordered = encoded.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("doc_id", "tie", "place")
-    map_arrow(ordered.select("doc_id", "ids"), _write_blocks(block_ids), SCHEMA).write.options(**CONTAINER).parquet(f"{path}/blocks")
+    order = ["doc_id", "tie", "place"]
+    ordered = named.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    written = map_arrow(ordered, _write_blocks(vocabulary or default_vocabulary(), end_id, block_ids), SCHEMA)
+    written.write.options(**CONTAINER).parquet(f"{path}/blocks")
     blocks = docs.sparkSession.read.schema(SCHEMA).parquet(f"{path}/blocks")
     starts, total = {}, 0
     for r in sorted(blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect(), key=lambda r: r["part"]):
