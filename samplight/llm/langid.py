@@ -40,10 +40,10 @@ SMOOTHING = 0.05
 #: Characters of the longest words that are summed as plain products.
 PLAIN_CHARS = 32
 #: Words, and characters of longer words, that are held in memory with all their arcs.
-ARC_WORDS, ARC_CHARS = 8_192, 262_144
-STORE_WORDS = 250_000
+ARC_WORDS, ARC_CHARS = 4_096, 262_144
+STORE_WORDS = 200_000
 #: Text bytes that one step of a prediction works on.
-PREDICT_BYTES = 3 << 20
+PREDICT_BYTES = 2 << 20
 #: Below this posterior probability a document counts as not identified.
 LEAST_SCORE = 0.5
 ENDS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‚‘’¿¡…–—"

@@ -29,7 +29,7 @@ END_ID = 1
 #: Pieces in a group, on average: what one call packs in memory.
 GROUP_PIECES = 4096
 #: Words whose ids a worker keeps; fewer than elsewhere, as packing comes after stages that fill the heap.
-STORE_WORDS = 200_000
+STORE_WORDS = 160_000
 #: Text bytes that one step of cutting works on.
 CUT_BYTES = 3 << 20
 
