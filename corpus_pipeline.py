@@ -47,7 +47,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: Trained models and groups of similar sets have no SQL; tests/llm compares with a brute-force version.
+#: Trained models and groups of similar sets have no SQL; tests/llm/test_pipeline.py compares with a brute-force version of every stage.
 ORACLE_SQL: str | None = None
 
 
