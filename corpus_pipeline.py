@@ -14,6 +14,10 @@ from samplight.llm import exact_dedup, langid, minhash, packing, quality
 from samplight.llm.common import documents, stage
 
 
+#: Words whose ids a worker keeps in packing; fewer than by itself, as the stages before it have filled the heap.
+PACK_WORDS = 160_000
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or with an uncertain language."""
     return langid.keep_identified(docs, langid.train(docs))
@@ -36,7 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places the pieces of what is left in sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, store_words=PACK_WORDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

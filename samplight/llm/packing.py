@@ -28,8 +28,8 @@ WIDTH = 2048
 END_ID = 1
 #: Pieces in a group, on average: what one call packs in memory.
 GROUP_PIECES = 4096
-#: Words whose ids a worker keeps; fewer than elsewhere, as packing comes after stages that fill the heap.
-STORE_WORDS = 160_000
+#: Words whose ids a worker keeps.
+STORE_WORDS = 200_000
 #: Text bytes that one step of cutting works on.
 CUT_BYTES = 3 << 20
 
@@ -68,9 +68,9 @@ def first_fit_decreasing(lengths: np.ndarray, width: int) -> tuple[np.ndarray, n
     return bins, offsets
 
 
-def _cut(vocabulary: str, end_id: int, width: int):
+def _cut(vocabulary: str, end_id: int, width: int, store_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(vocabulary, STORE_WORDS)
+        encoder = library_encoder(vocabulary, store_words)
         for batch in batches:
             for rows in text_slices(batch, limit=CUT_BYTES):
                 flat, offsets = encoder.batch(rows.column("text"))
@@ -103,13 +103,13 @@ def _pack(width: int):
     return run
 
 
-def pack(docs: DataFrame, width: int = WIDTH, vocabulary: str | None = None, end_id: int = END_ID, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(docs: DataFrame, width: int = WIDTH, vocabulary: str | None = None, end_id: int = END_ID, group_pieces: int = GROUP_PIECES, store_words: int = STORE_WORDS) -> DataFrame:
     """One row for each piece: its document's part and its place in a sequence.
 
     Only the pieces' numbers are shuffled, never ids or texts.
     """
     ship(docs.sparkSession)
-    pieces = stage(map_arrow(docs.select("doc_id", "text"), _cut(vocabulary or default_vocabulary(), end_id, width), PIECES), "pieces")
+    pieces = stage(map_arrow(docs.select("doc_id", "text"), _cut(vocabulary or default_vocabulary(), end_id, width, store_words), PIECES), "pieces")
     groups = -(-max(1, pieces.count()) // group_pieces)
     dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))  # the row's own place: equal rows are spread
     return dealt.groupBy("pack_group").applyInArrow(_pack(width), f"{PIECES}, sequence_id long, offset long")
