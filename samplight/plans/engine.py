@@ -101,13 +101,18 @@ def estimate(table: DataFrame, spec: QuerySpec, percent: int = 0, key: str | Non
         else:
             out = positioned.agg(*own, *totals)
     if key is not None and size is None:
-        sound = F.expr("coalesce(__least = 0 and __most = __size - 1, true)")
-        out = out.withColumn("__m", F.when(sound, F.col("__m")).otherwise(F.raise_error(F.lit(NOT_DENSE)).cast("double")))
+        out = _guarded(out)
     out = out.withColumn("__size", F.col("__size").cast("double"))
     out = out.withColumn("__value", F.expr(f"case when __n > 0 then {value_sql(spec.agg)} when '{spec.agg}' = 'count' and {not keys} then 0D end"))
     return _shown(out.withColumn("__margin", F.expr(margin_sql(spec.agg, z_score(confidence), blocks is not None))), spec.group_by)
 
 
+def _guarded(out: DataFrame) -> DataFrame:
+    """out, with an error when it is read if the key isn't dense."""
+    sound = F.expr("coalesce(__least = 0 and __most = __size - 1, true)")
+    return out.withColumn("__m", F.when(sound, F.col("__m")).otherwise(F.raise_error(F.lit(NOT_DENSE)).cast("double")))
+
+
 def _joined(spark: SparkSession, spec: QuerySpec, percent: int, key: str | None, method: str, confidence: float, **params) -> DataFrame:
     """A sample of the first table, joined to the others; the sampled unit is a row of the first table."""
     rest = spec.table[len(spec.base) :]
@@ -130,7 +135,8 @@ def _joined(spark: SparkSession, spec: QuerySpec, percent: int, key: str | None,
         F.sum(F.col("c") * F.col("c")).cast("double").alias("__cc"), F.sum(F.col("c") * F.col("t")).alias("__cs"),
     )
     totals = positioned.agg(*density(), F.count(F.when(F.expr(predicate(method, size, percent, **params)), 1)).cast("double").alias("__m"))
-    out = sums.crossJoin(F.broadcast(totals)).withColumn("__size", F.col("__size").cast("double"))  # one row
+    out = sums.crossJoin(F.broadcast(totals))  # one row
+    out = (_guarded(out) if key is not None and size is None else out).withColumn("__size", F.col("__size").cast("double"))
     out = out.withColumn("__units", F.col("__m")).withColumn("__all_units", F.col("__size"))
     out = out.withColumn("__value", F.expr(f"case when __n > 0 then {value_sql(spec.agg)} end"))
     return _shown(out.withColumn("__margin", F.expr(margin_sql(spec.agg, z_score(confidence), True))), spec.group_by)

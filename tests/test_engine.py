@@ -66,6 +66,9 @@ def test_a_key_that_is_not_dense_is_no_silent_error(spark):
         with pytest.raises(Exception, match=NOT_DENSE[:20]):
             engine.estimate(rows, QuerySpec("sum", "v", "t"), 10, "k", method).collect()
     assert engine.estimate(rows, QuerySpec("sum", "v", "t"), 10).first()["value"] == 2000.0
+    rows.createOrReplaceTempView("gaps")
+    with pytest.raises(Exception, match=NOT_DENSE[:20]):
+        engine.run_query(spark, "SELECT SUM(v) FROM gaps a JOIN gaps b ON a.k = b.k".replace("SUM(v)", "SUM(a.v)"), 10, key="k").collect()
 
 
 @pytest.mark.parametrize("percent", [0, 1, 15, 30, 51, 75, 99, 100])
