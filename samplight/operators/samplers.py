@@ -14,12 +14,14 @@ start with two underscores are the library's own.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StructType
 from pyspark.sql.window import Window
 
 POS = "__pos"
@@ -42,10 +44,10 @@ def mix(x: int) -> int:
 
 
 def mixed(x: str) -> str:
-    x = f"({x}) % {HASH_MODULUS}"
+    x = f"(({x}) & {HASH_MODULUS - 1})"
     for m in HASH_MULTIPLIERS:
-        x = f"((({x}) ^ (({x}) DIV 65536)) * {m}) % {HASH_MODULUS}"
-    return f"({x})"
+        x = f"((({x} ^ shiftright({x}, 16)) * {m}) & {HASH_MODULUS - 1})"
+    return x
 
 
 def even(q: str, percent: int, offset: str | int = 0, base: int = 100) -> str:
@@ -177,6 +179,8 @@ METHODS: dict[str, tuple[Callable[..., str], dict]] = {
     "page": (by_block, {"block": 128, "offset": 25}), "parallel_block": (by_region_blocks, {}), "node_skip": (by_block, {"block": 127, "offset": 50}),
     "balanced": (by_quota, {}), "direct_access": (by_two_stage, {}), "nth_wrap": (by_wrap, {}), "jittered": (by_jitter, {}), "segments": (by_segment, {}), "head": (by_head, {}),
 }
+#: Methods that take whole blocks, evenly spread, and what they go by if not told.
+BLOCKS, BLOCK_DEFAULTS = ("block", "page", "node_skip"), {"block": 1000, "offset": 0}
 #: Methods that need no table size.
 SIZELESS = frozenset({"slow_pointer", "fast_pointer", "dual_pointer", "memory_stride", "address_arithmetic", "stride_bytes", "random_start_stride", "sequential", "balanced", "jittered"})
 
@@ -198,11 +202,44 @@ def units(method: str, size: int, percent: int, **params) -> tuple[str, int, Col
     """(number of a row's unit, units in all, aggregate that counts the chosen ones) where a method takes units of rows whole."""
     if method == "segments":
         return f"({POS} * {SEGMENTS}) DIV {size}", min(SEGMENTS, size), F.lit(len(segment_bounds(size, percent)))
-    if method not in ("block", "page", "parallel_block", "node_skip"):
+    if method not in (*BLOCKS, "parallel_block"):
         return None
-    rows = block_rows(size, ({"block": 1000} | METHODS[method][1] | params)["block"])
+    given = BLOCK_DEFAULTS | METHODS[method][1] | params
+    rows = block_rows(size, given["block"])
+    blocks = -(-size // rows)
+    if method in BLOCKS:
+        return f"{POS} DIV {rows}", blocks, F.lit(due(blocks, percent, given["offset"]))
     first = f"({predicate(method, size, percent, **params)}) and {POS} % {rows} = 0"
-    return f"{POS} DIV {rows}", -(-size // rows), F.count(F.when(F.expr(first), 1))
+    return f"{POS} DIV {rows}", blocks, F.count(F.when(F.expr(first), 1))
+
+
+def due(n: int, percent: int, offset: int = 0, base: int = 100) -> int:
+    """How many of the numbers 0 to n - 1 even() holds for."""
+    return (n * percent + offset) // base - offset // base
+
+
+def taken(method: str, size: int, percent: int, **params) -> int | None:
+    """Rows that a method keeps of a table of some size; None where only a count can tell."""
+    given = {"seed": SEED} | BLOCK_DEFAULTS | METHODS[method][1] | params
+    if method in ("slow_pointer", "memory_stride", "address_arithmetic", "nth_wrap"):
+        return due(size, percent)
+    if method in ("index", "byte_offset", "head"):
+        return size * percent // 100
+    if method == "random_start_stride":
+        return due(size, percent, mix(given["seed"]) % 100)
+    if method == "sequential":
+        return due(size, 10 * percent, 1000 - (1 + mix(given["seed"]) % 999), 1000)
+    if method == "jittered":
+        whole, offset = size // 100 * 100, mix(size // 100 + given["seed"]) // 1024 % 100
+        return due(size, percent, offset) - due(whole, percent, offset) + whole * percent // 100
+    if method == "segments":
+        return sum(b - a + 1 for a, b in segment_bounds(size, percent))
+    if method in BLOCKS:
+        rows, offset = block_rows(size, given["block"]), given["offset"]
+        blocks = -(-size // rows)
+        last = due(blocks, percent, offset) - due(blocks - 1, percent, offset)
+        return due(blocks, percent, offset) * rows - last * (blocks * rows - size)
+    return None
 
 
 def with_position(df: DataFrame, key: str | None = None, dense: bool = False) -> DataFrame:
@@ -217,14 +254,56 @@ def with_position(df: DataFrame, key: str | None = None, dense: bool = False) ->
     """
     if dense:
         return df.withColumn(POS, F.col(key).cast("long"))
+    return _numbered(df, key)[0]
+
+
+def placed(df: DataFrame, key: str | None = None, look: bool = True) -> tuple[DataFrame, int | None]:
+    """df with positions, by a dense key or else by the rows' order, and its rows where no scan is needed to know them.
+
+    Of a dense key of Parquet files their footers tell, which look asks for;
+    where they speak against it, a scan has to decide.
+    """
     if key is None:
-        numbered = _by_file(df)
-        if numbered is not None:
-            return numbered
-    return _by_order(df, [key] if key else df.columns)
+        return _numbered(df, None)
+    size, least, most = (footers(df, key) if look else None) or (None, None, None)
+    return with_position(df, key, dense=True), size if not size or (least, most) == (0, size - 1) else None
+
+
+def footers(df: DataFrame, key: str) -> tuple[int, int | None, int | None] | None:
+    """(rows, least, most) of a whole-number column, from the footers of a table's Parquet files.
+
+    None for a table that isn't one of plain Parquet files (a filtered one, say), or
+    whose footers have no statistics. Executors read the footers, no data. The
+    reader finds a column by its place in the table's schema, so that files with
+    other orders of columns give other columns' bounds.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return None
+    relation, column = plan.relation(), df.select(key)
+    if relation.fileFormat().toString() != "Parquet" or not relation.partitionSchema().isEmpty() or not isinstance(column.schema[0].dataType, IntegralType):
+        return None
+    session = df.sparkSession.newSession()  # its own settings: this reader can answer from footers
+    session.conf.set("spark.sql.sources.useV1SourceList", "")
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    paths = relation.location().rootPaths()
+    try:
+        table = session.read.schema(StructType.fromJson(json.loads(relation.dataSchema().json()))).parquet(*[paths.apply(k).toString() for k in range(paths.size())])
+        of = table.agg(F.count(F.lit(1)), F.min(key), F.max(key))
+        return tuple(of.first()) if "PushedAggregation: [COUNT" in of._jdf.queryExecution().toString() else None
+    except PySparkException:
+        return None
+
+
+def _numbered(df: DataFrame, key: str | None) -> tuple[DataFrame, int]:
+    return (None if key else _by_file(df)) or _by_order(df, [key] if key else df.columns)
+
+
+#: Files whose starts may be broadcast (a path and a number each).
+BROADCAST_FILES = 100_000
 
 
-def _by_file(df: DataFrame) -> DataFrame | None:
+def _by_file(df: DataFrame) -> tuple[DataFrame, int] | None:
     try:
         rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     except AnalysisException:  # no table of files
@@ -234,10 +313,12 @@ def _by_file(df: DataFrame) -> DataFrame | None:
         starts.append((r["__file"], total))
         total += r["n"]
     before = df.sparkSession.createDataFrame(starts, "__file string, __before long")
-    return rows.join(before, "__file").withColumn(POS, F.col("__before") + F.col("__row")).drop("__file", "__row", "__before")
+    if len(starts) <= BROADCAST_FILES:
+        before = F.broadcast(before)
+    return rows.join(before, "__file").withColumn(POS, F.col("__before") + F.col("__row")).drop("__file", "__row", "__before"), total
 
 
-def _by_order(df: DataFrame, order: list[str]) -> DataFrame:
+def _by_order(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).persist()
     counts = sorted(ranged.groupBy("__part").count().collect())
     starts, total = {}, 0
@@ -245,10 +326,10 @@ def _by_order(df: DataFrame, order: list[str]) -> DataFrame:
         starts[part] = total
         total += n
     if not starts:
-        return df.withColumn(POS, F.lit(0).cast("long"))
+        return df.withColumn(POS, F.lit(0).cast("long")), 0
     base = F.create_map(*[F.lit(x) for k, v in starts.items() for x in (k, v)])
     rank = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return ranged.withColumn(POS, (F.element_at(base, F.col("__part")) + rank - 1).cast("long")).drop("__part")
+    return ranged.withColumn(POS, (F.element_at(base, F.col("__part")) + rank - 1).cast("long")).drop("__part"), total
 
 
 def density() -> list[Column]:
@@ -261,10 +342,10 @@ NOT_DENSE = "the key isn't dense from 0; leave it out to have the rows numbered"
 
 def dense_size(positioned: DataFrame) -> int:
     """Rows of a table whose positions are 0 to n - 1; ValueError if they aren't."""
-    r = positioned.agg(*density()).first()
-    if r["__size"] and (r["__least"], r["__most"]) != (0, r["__size"] - 1):
+    size, least, most = positioned.agg(*density()).first()
+    if size and (least, most) != (0, size - 1):
         raise ValueError(NOT_DENSE)
-    return r["__size"]
+    return size
 
 
 def sample(positioned: DataFrame, method: str, percent: int, size: int | None = None, **params) -> DataFrame:
@@ -306,7 +387,7 @@ def quotas(sizes: list[int], target: int) -> list[int]:
 
 def strata_cuts(positioned: DataFrame, measure: str, strata: int, size: int) -> list[tuple]:
     """(measure, position) of the first row of each stratum but the first, of equal numbers of rows, by measure."""
-    ranked = _by_order(positioned.select(F.col(measure).alias("__measure"), F.col(POS).alias("__of")), ["__measure", "__of"])
+    ranked = _by_order(positioned.select(F.col(measure).alias("__measure"), F.col(POS).alias("__of")), ["__measure", "__of"])[0]
     firsts = sorted({size * k // strata for k in range(1, strata)} - {0})
     found = sorted((r[POS], r["__measure"], r["__of"]) for r in ranked.filter(F.col(POS).isin(firsts)).collect())
     return [(m, at) for _, m, at in found]

@@ -1,9 +1,12 @@
 """Exact and sampled aggregates with confidence intervals.
 
-A sampled answer reads the table once: the sample is a condition inside the
-aggregates, next to the table's size and the sample's. With a filter or groups
-these two come from a second scan of the key alone, so that the filter is
-pushed down to the first one.
+Where the table's size is known (rows numbered by file, or a dense key of
+Parquet files, whose footers tell) and a closed form gives the sample's, the
+sample is a filter under the aggregates; that of ``segments`` skips row groups.
+Else, and where one scan does it all, the table is read once with the sample as a
+condition inside the aggregates, next to both sizes; with a filter or groups
+these come from a second scan of the key alone, so that the filter is pushed
+down to the first one.
 
 Columns that start with two underscores are the library's own. A group key that
 is called like a result column (value, ci_lower, ci_upper, n) is given back as
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samplight.functions.estimators import margin_sql, value_sql, z_score
-from samplight.operators.samplers import NOT_DENSE, POS, SIZELESS, dense_size, density, predicate, units, with_position
+from samplight.operators.samplers import NOT_DENSE, POS, SIZELESS, dense_size, density, placed, predicate, taken, units
 from samplight.plans.spec import AGGREGATES, QueryError, QuerySpec, parse
 
 DEFAULT_PERCENT = 10
@@ -71,36 +74,48 @@ def estimate(table: DataFrame, spec: QuerySpec, percent: int = 0, key: str | Non
         return exact(table, spec)
     if spec.agg not in AGGREGATES or spec.distinct:
         raise QueryError("MIN, MAX and DISTINCT are answered exactly only")
-    positioned = with_position(table, key, dense=key is not None)
-    size = None if method in SIZELESS else dense_size(positioned)
+    one_scan = method in SIZELESS and not spec.where and not spec.group_by  # which tells the size too
+    positioned, size = placed(table, key, look=not one_scan)
+    counted = size is None
+    if counted and method not in SIZELESS:
+        size = dense_size(positioned)
     if size == 0:
         return exact(table, spec)
+    m = None if size is None else taken(method, size, percent, **params)
     blocks = None if size is None else units(method, size, percent, **params)
     chosen = F.expr(predicate(method, size, percent, **params))
     there, x = _numbers(spec)
     rows = positioned.filter(f"({spec.where})") if spec.where else positioned
+    alone = m is not None and not spec.group_by  # groups that the sample missed are told by all rows
+    if alone:
+        rows = rows.filter(chosen)
     keys = [F.expr(k).alias(f"__k{i}") for i, k in enumerate(spec.group_by)]
     names = [f"__k{i}" for i in range(len(keys))]
     totals = [*density(), F.count(F.when(chosen, 1)).cast("double").alias("__m")]
-    mine = lambda c: F.when(chosen, c)
+    mine = lambda c: c if alone else F.when(chosen, c)
+    own = [F.count(mine(there)).alias("__n"), F.sum(mine(x)).alias("__s"), F.sum(mine(x * x)).alias("__ss")]
     if blocks is not None:
         unit = mine(F.expr(blocks[0])).alias("__unit")
         by_unit = rows.groupBy(*keys, unit).agg(F.count(mine(there)).alias("c"), F.coalesce(F.sum(mine(x)), F.lit(0.0)).alias("t"))
         sums = by_unit.groupBy(*names).agg(
-            F.sum("c").alias("__n"), F.sum(F.when(F.col("c") > 0, F.col("t"))).alias("__s"), F.sum(F.col("t") * F.col("t")).alias("__ss"),
+            F.coalesce(F.sum("c"), F.lit(0)).alias("__n"), F.sum(F.when(F.col("c") > 0, F.col("t"))).alias("__s"), F.sum(F.col("t") * F.col("t")).alias("__ss"),
             F.sum(F.col("c") * F.col("c")).cast("double").alias("__cc"), F.sum(F.col("c") * F.col("t")).alias("__cs"),
         )
-        totals += [F.lit(float(blocks[1])).alias("__all_units"), blocks[2].cast("double").alias("__units")]
-        out = sums.crossJoin(F.broadcast(positioned.agg(*totals)))  # one row
+        units_of = [F.lit(float(blocks[1])).alias("__all_units"), blocks[2].cast("double").alias("__units")]
+        if m is None:
+            out = sums.crossJoin(F.broadcast(positioned.agg(*totals, *units_of)))  # one row
+        else:
+            out = sums.select("*", F.lit(size).alias("__size"), F.lit(float(m)).alias("__m"), *units_of)
+    elif m is not None:
+        out = rows.groupBy(*keys).agg(*own).select("*", F.lit(size).alias("__size"), F.lit(float(m)).alias("__m"))
     else:
-        own = [F.count(mine(there)).alias("__n"), F.sum(mine(x)).alias("__s"), F.sum(mine(x * x)).alias("__ss")]
         if spec.where or keys:
             if not keys:
                 rows = rows.filter(chosen)
             out = rows.groupBy(*keys).agg(*own).crossJoin(F.broadcast(positioned.agg(*totals)))  # one row
         else:
             out = positioned.agg(*own, *totals)
-    if key is not None and size is None:
+    if key is not None and counted and size is None:
         out = _guarded(out)
     out = out.withColumn("__size", F.col("__size").cast("double"))
     out = out.withColumn("__value", F.expr(f"case when __n > 0 then {value_sql(spec.agg)} when '{spec.agg}' = 'count' and {not keys} then 0D end"))
@@ -120,22 +135,27 @@ def _joined(spark: SparkSession, spec: QuerySpec, percent: int, key: str | None,
     named = bool(words) and words[0].lower() not in ("join", "inner", "left", "right", "full", "cross", "natural", "semi", "anti") and words[0] != ","
     if spec.agg not in AGGREGATES or spec.distinct:
         raise QueryError("MIN, MAX and DISTINCT are answered exactly only")
-    positioned = with_position(spark.table(spec.base), key, dense=key is not None)
-    size = None if method in SIZELESS else dense_size(positioned)
-    taken = positioned.filter(predicate(method, size, percent, **params))
+    positioned, size = placed(spark.table(spec.base), key)
+    if size is None and method not in SIZELESS:
+        size = dense_size(positioned)
+    m = None if size is None else taken(method, size, percent, **params)
+    sampled = positioned.filter(predicate(method, size, percent, **params))
     keys = ", ".join(f"{k} AS __k{i}" for i, k in enumerate(spec.group_by))
     x = "1" if spec.column == "*" else spec.column
     source = "{__taken}" + ("" if named else f" AS {spec.base.split('.')[-1]}") + rest
     where = f" WHERE ({spec.where})" if spec.where else ""
-    rows = spark.sql(f"SELECT {keys + ', ' if keys else ''}{POS}, {x} AS __x FROM {source}{where}", __taken=taken)
+    rows = spark.sql(f"SELECT {keys + ', ' if keys else ''}{POS}, {x} AS __x FROM {source}{where}", __taken=sampled)
     names = [f"__k{i}" for i in range(len(spec.group_by))]
     by_row = rows.groupBy(*names, POS).agg(F.count("__x").alias("c"), F.sum(F.lit(0.0) if spec.agg == "count" else F.col("__x").cast("double")).alias("t"))
     sums = by_row.groupBy(*names).agg(
         F.sum("c").alias("__n"), F.sum("t").alias("__s"), F.sum(F.col("t") * F.col("t")).alias("__ss"),
         F.sum(F.col("c") * F.col("c")).cast("double").alias("__cc"), F.sum(F.col("c") * F.col("t")).alias("__cs"),
     )
-    totals = positioned.agg(*density(), F.count(F.when(F.expr(predicate(method, size, percent, **params)), 1)).cast("double").alias("__m"))
-    out = sums.crossJoin(F.broadcast(totals))  # one row
+    if m is not None:
+        out = sums.select("*", F.lit(size).alias("__size"), F.lit(float(m)).alias("__m"))
+    else:
+        totals = positioned.agg(*density(), F.count(F.when(F.expr(predicate(method, size, percent, **params)), 1)).cast("double").alias("__m"))
+        out = sums.crossJoin(F.broadcast(totals))  # one row
     out = (_guarded(out) if key is not None and size is None else out).withColumn("__size", F.col("__size").cast("double"))
     out = out.withColumn("__units", F.col("__m")).withColumn("__all_units", F.col("__size"))
     out = out.withColumn("__value", F.expr(f"case when __n > 0 then {value_sql(spec.agg)} end"))

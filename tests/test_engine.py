@@ -106,6 +106,18 @@ def test_joins_distinct_and_trailing_clauses(spark):
         engine.run_query(spark, "SELECT SUM(v) FROM facts LIMIT 1", 10)
 
 
+@pytest.mark.parametrize("method", ["segments", "block", "parallel_block", "jittered", "index", "direct_access"])
+def test_known_sizes_change_no_answer(spark, tmp_path, method):
+    spark.range(0, 5000, 1, 3).selectExpr("id", "cast(id * 7 % 100 as double) as v", "id % 3 as g").write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    for query in ("SUM(v) FROM t", "AVG(v) FROM t WHERE g = 1", "COUNT(v) FROM t WHERE v > 1000", "SUM(v) FROM t GROUP BY g", "COUNT(*) FROM t WHERE v < 50 GROUP BY g"):
+        spec = parse(f"SELECT {query}")
+        known, scanned = (sorted(engine.estimate(t, spec, 15, "id", method).collect()) for t in (table, table.filter("id >= 0")))
+        assert known == [tuple(pytest.approx(x, nan_ok=True) if x is not None else None for x in r) for r in scanned]
+    plan = engine.estimate(table, parse("SELECT SUM(v) FROM t"), 10, "id", "segments")._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(id," in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 @pytest.mark.parametrize("share", [1.0, 0.33, 0.05])
 def test_intervals_cover_the_truth(spark, share):
     """2,000 random samples of 1,500 of 15,000 rows: the truth is inside 93.5 to 97 % of the intervals (means ignore that a tenth is taken)."""

@@ -37,6 +37,17 @@ def test_rates_are_honoured_over_the_whole_table(taken, method, percent):
         assert got[0] < 100 * 150 / percent + 300 and got[-1] > SIZE - 100 * 150 / percent - 300
 
 
+def test_sizes_in_closed_form(spark, taken):
+    for (method, percent), got in taken.items():
+        assert samplers.taken(method, SIZE, percent) in (len(got), None)
+    for size in (1, 99, 250, 1037):
+        for method in samplers.METHODS:
+            got = _positions(spark, size).agg(*[F.count(F.when(F.expr(samplers.predicate(method, size, p)), 1)) for p in (1, 13, 60, 99)]).first()
+            told = [samplers.taken(method, size, p) for p in (1, 13, 60, 99)]
+            assert told in ([*got], [None] * 4)
+    assert sum(samplers.taken(m, SIZE, 10) is not None for m in samplers.METHODS) > 12
+
+
 def _loop(method, n, p):
     """What a plain walk over the rows takes."""
     out, due = [], 0
@@ -149,6 +160,26 @@ def test_keys_that_are_not_dense(spark):
     assert samplers.sample(samplers.with_position(spark.range(0), "id", dense=True), "index", 10).count() == 0
 
 
+def test_footers_tell_the_size_of_plain_parquet_tables_only(spark, tmp_path):
+    rows = spark.range(0, 1000, 1, 4).selectExpr("id", "cast(id as int) as i", "if(id = 3, null, id) as holes", "cast(id as string) as s", "id % 2 as part")
+    rows.write.parquet(f"{tmp_path}/plain")
+    rows.write.partitionBy("part").parquet(f"{tmp_path}/parts")
+    table = spark.read.parquet(f"{tmp_path}/plain")
+    assert samplers.footers(table, "id") == samplers.footers(table, "i") == samplers.footers(table, "holes") == (1000, 0, 999)
+    table.createOrReplaceTempView("plain_view")
+    assert samplers.footers(spark.table("plain_view"), "id") == (1000, 0, 999)
+    for other, key in ((table, "s"), (table.filter("id < 10"), "id"), (table.limit(10), "id"), (rows, "id"), (spark.read.parquet(f"{tmp_path}/parts"), "id")):
+        assert samplers.footers(other, key) is None
+    assert samplers.placed(table, "id")[1] == 1000 and samplers.placed(table, "id", look=False)[1] is None and samplers.placed(table)[1] == 1000
+    spark.range(5, 50).write.parquet(f"{tmp_path}/late")
+    late, size = samplers.placed(spark.read.parquet(f"{tmp_path}/late"), "id")
+    assert size is None
+    with pytest.raises(ValueError, match="dense"):
+        samplers.dense_size(late)
+    spark.range(0).write.parquet(f"{tmp_path}/none")
+    assert samplers.placed(spark.read.parquet(f"{tmp_path}/none"), "id")[1] in (0, None)
+
+
 def test_segments_are_ranges_that_parquet_can_skip(spark, tmp_path):
     spark.range(20_000).coalesce(1).write.parquet(str(tmp_path / "t"))
     rows = samplers.with_position(spark.read.parquet(str(tmp_path / "t")), "id", dense=True)
