@@ -308,14 +308,17 @@ def _by_file(df: DataFrame) -> tuple[DataFrame, int] | None:
         rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     except AnalysisException:  # no table of files
         return None
+    counts = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("n")).select("__file", F.xxhash64("__file").alias("__short"), "n")
     starts, total = [], 0
-    for r in sorted(rows.groupBy("__file").agg(F.count(F.lit(1)).alias("n")).collect()):
-        starts.append((r["__file"], total))
-        total += r["n"]
-    before = df.sparkSession.createDataFrame(starts, "__file string, __before long")
+    for path, short, n in sorted(counts.collect()):
+        starts.append((path, short, total))
+        total += n
+    key = "__short" if len({short for _, short, _ in starts}) == len(starts) else "__file"  # numbers are found faster than paths
+    before = df.sparkSession.createDataFrame(starts, "__file string, __short long, __before long").select(key, "__before")
     if len(starts) <= BROADCAST_FILES:
         before = F.broadcast(before)
-    return rows.join(before, "__file").withColumn(POS, F.col("__before") + F.col("__row")).drop("__file", "__row", "__before"), total
+    placed_rows = rows.withColumn("__short", F.xxhash64("__file")).join(before, key)
+    return placed_rows.withColumn(POS, F.col("__before") + F.col("__row")).drop("__file", "__short", "__row", "__before"), total
 
 
 def _by_order(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
