@@ -83,12 +83,12 @@ def main(argv: list[str] | None = None) -> int:
     runs = [(query_type(spec, a.sample, a.error, method) if percent else "EXACT", percent)] + ([("EXACT", 0)] if a.compare and percent else [])
     found = []
     for label, rate in runs:
+        began = time.perf_counter()  # numbering rows and looking up sizes count too
         out = _answer(spark, a, rate, method)
-        if a.explain:
-            out.explain("formatted")
-        began = time.perf_counter()
         rows = out.collect()
         seconds = time.perf_counter() - began
+        if a.explain:
+            out.explain("formatted")
         found.append((sum(r["value"] or 0 for r in rows), seconds))
         shown = out.columns if a.ci else [c for c in out.columns if c not in ("ci_lower", "ci_upper", "n")]
         for r in rows:
